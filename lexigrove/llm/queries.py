@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.llm import copies as p1
+from lexigrove.llm import lines as p5
+from lexigrove.llm import mixture as p7
+from lexigrove.llm import near as p3
 from lexigrove.llm import spans as p8
 from lexigrove.llm import tokenizer as p6
 from lexigrove.session import table
@@ -34,6 +37,39 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named({k: p1.collapse(v) for k, v in _p1_sets(spark, sf_dir).items()}, "keep_id", "n_copies")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> p3.NearDuplicates:
+    return p3.NearDuplicates(table(spark, sf_dir, "json_documents"), "doc_id", ["title", "body"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents of which at least 0.6 of the three-word runs are common."""
+    return _near(spark, sf_dir).document_pairs()
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of near-duplicates and its number of near documents."""
+    return _near(spark, sf_dir).groups()
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> p5.RepeatedLines:
+    return p5.RepeatedLines(table(spark, sf_dir, "json_documents"), "doc_id", "site", "body")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that are repeated across its site."""
+    return _repeated(spark, sf_dir).found()
+
+
+def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated lines of each site with their number of documents."""
+    return _repeated(spark, sf_dir).by_site()
+
+
+def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each body without its repeated lines."""
+    return _repeated(spark, sf_dir).cleaned()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the byte-level vocabulary."""
     return p6.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -47,6 +83,20 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("original").alias("h0")).join(again, "doc_id").select("doc_id", (F.col("h") == F.col("h0")).alias("same"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> p7.Mixture:
+    return p7.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each copy of a document in the mixture."""
+    return _mixture(spark, sf_dir).rows()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixture(spark, sf_dir).report()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a run of at least 200 characters in common."""
     return p8.SharedSpans(table(spark, sf_dir, "documents"), "doc_id", "text").document_pairs()
@@ -67,8 +117,15 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_lines": p5_lines,
+    "p5_cleaned": p5_cleaned,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_shared": p8_shared,
@@ -88,7 +145,29 @@ _SETS = r"""
     sets AS (SELECT table_name, id, min(id) OVER (PARTITION BY table_name, a, b) AS keep_id FROM keyed)
 """
 
+_WHITE = r"[\t\n\x0B\f\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+_LINES = rf"""
+    WITH docs AS (SELECT DISTINCT doc_id, site, body FROM json_documents WHERE doc_id IS NOT NULL AND site IS NOT NULL),
+    split AS (SELECT doc_id, site, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line_no FROM docs),
+    lines AS (SELECT doc_id, site, line_no, lower(trim(regexp_replace(line, '{_WHITE}+', ' ', 'g'))) AS line FROM split),
+    counted AS (SELECT site, line, count(DISTINCT doc_id) AS n_docs FROM lines WHERE regexp_matches(line, '[\p{{L}}\p{{N}}]') GROUP BY site, line),
+    sites AS (SELECT site, count(DISTINCT doc_id) AS n FROM docs GROUP BY site),
+    excessive AS (SELECT site, line, n_docs FROM counted JOIN sites USING (site) WHERE n_docs >= 5 AND n_docs * 10 >= n)
+"""
+
+_NEAR = r"""
+    WITH docs AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[\p{L}\p{N}]+') AS w FROM json_documents),
+    grams AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM docs),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT x AS doc_id_a, y AS doc_id_b FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE c * 5 >= (s.n + t.n - c) * 3
+"""
+
 LLM_SQL = {
+    "p3_found": _NEAR,
+    "p5_found": _LINES + "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN excessive USING (site, line)",
+    "p5_lines": _LINES + "SELECT site, line, n_docs FROM excessive",
     "p1_found": _SETS + "SELECT table_name, keep_id, id AS copy_id FROM sets WHERE id <> keep_id",
     "p1_collapsed": _SETS + "SELECT table_name, keep_id, count(*) AS n_copies FROM sets GROUP BY table_name, keep_id",
 }
