@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.llm import copies as p1
+from lexigrove.llm import language as p4
 from lexigrove.llm import lines as p5
 from lexigrove.llm import mixture as p7
 from lexigrove.llm import near as p3
@@ -51,6 +52,20 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups()
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4.identify(table(spark, sf_dir, "json_documents"), "doc_id", "body", "lang_label", table(spark, sf_dir, "language_samples"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the documents whose label is missing or wrong, or whose body changes its language."""
+    return p4.wrong_labels(_languages(spark, sf_dir), "doc_id")
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of each document's segments."""
+    return p4.document_languages(_languages(spark, sf_dir), "doc_id")
+
+
 def _repeated(spark: SparkSession, sf_dir: str) -> p5.RepeatedLines:
     return p5.RepeatedLines(table(spark, sf_dir, "json_documents"), "doc_id", "site", "body")
 
@@ -119,6 +134,8 @@ LLM_QUERIES = {
     "p1_collapsed": p1_collapsed,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
+    "p4_languages": p4_languages,
     "p5_found": p5_found,
     "p5_lines": p5_lines,
     "p5_cleaned": p5_cleaned,
