@@ -13,11 +13,12 @@ when first needed and kept.
 from __future__ import annotations
 
 import base64
-import os
+import gc
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import chain
 
@@ -30,7 +31,8 @@ from lexigrove.operators.ranges import flat
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _MOST_STATES = 150_000
-_MOST_WORDS = 120_000
+_MOST_WORDS = 250_000
+_UNMADE = 32
 _DOCUMENTS = 256
 
 
@@ -59,14 +61,15 @@ def _pieces() -> re.Pattern:
     letter, number = _ranges("L"), _ranges("N")
     # Unicode's White_Space and the pattern's alternatives.
     space = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+    # Letters come first, for speed: no other alternative can begin as they do.
+    return re.compile(rf" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
 class _State:
-    __slots__ = ("paths", "to", "tail")
+    __slots__ = ("paths", "to")
 
     def __init__(self, paths: tuple) -> None:
-        self.paths, self.to, self.tail = paths, {}, None
+        self.paths, self.to = paths, {}
 
 
 class Transducer:
@@ -89,7 +92,7 @@ class Transducer:
                 node = self.child[edge]
             self.ends[node] = rank
         self.beside: dict[tuple[int, int], bool] = {}
-        self.sound: dict[int, bool] = {}
+        self.spines: dict[int, list[tuple[bytes, int]] | None] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.forget()
 
@@ -98,85 +101,144 @@ class Transducer:
         self.start = _State(((0, (), -1),))
         self.states = {self.start.paths: self.start}
 
-    def merged(self, raw: bytes) -> list[int]:
-        """Tokens of a few bytes by merging the lowest-ranked pair again and again."""
+    def merged(self, raw: bytes, below: int = sys.maxsize) -> list[bytes]:
+        """Parts of a few bytes after merging the lowest-ranked pair again and again, with ranks under ``below``."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
         while len(parts) > 1:
-            ranked = [(self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks]
-            if not ranked:
+            ranks = [self.ranks.get(a + b, below) for a, b in zip(parts, parts[1:])]
+            low = min(ranks)
+            if low >= below:
                 break
-            low = min(ranked)[0]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and self.ranks.get(parts[i] + parts[i + 1]) == low:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def spine(self, token: int, side: int) -> list[tuple[bytes, int]] | None:
+        """What stands at one end of a token while it is built, from a byte on, each with the rank that ends it.
+
+        ``side`` is 0 for the left end, -1 for the right one; None for a token
+        that the merges never build.
+        """
+        key = token * 2 - side
+        if key not in self.spines:
+            raw, rank, out = self.tokens[token], sys.maxsize, []
+            while out is not None:
+                out.append((raw, rank))
+                if len(raw) == 1:
+                    break
+                rank = self.ranks[raw]
+                parts = self.merged(raw, rank)
+                if len(parts) != 2:
+                    out = None
                 else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ranks[p] for p in parts]
+                    raw = parts[side]
+            self.spines[key] = out and out[::-1]
+        return self.spines[key]
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the merges leave ``left`` and ``right`` side by side as they are."""
-        if left < 0:
-            if right not in self.sound:
-                self.sound[right] = self.merged(self.tokens[right]) == [right]
-            return self.sound[right]
+        """Whether the merges leave ``left`` and ``right`` side by side as they are.
+
+        They do unless, while both are built, a pair across the border is merged
+        before one of its parts is used up on its own side.  Of equal ranks the
+        merge further left comes first.
+        """
+        beginning = self.spine(right, 0)
+        if left < 0 or beginning is None:
+            return beginning is not None
         known = self.beside.get((left, right))
         if known is None:
-            if len(self.beside) > 4 * _MOST_STATES:
+            if len(self.beside) > 2 * _MOST_STATES:
                 self.beside.clear()
-            known = self.beside[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            ending, get = self.spine(left, -1), self.ranks.get
+            i = j = 0
+            known = ending is not None
+            while known:
+                (x, x_ends), (y, y_ends) = ending[i], beginning[j]
+                rank = get(x + y)
+                if rank is not None and rank < x_ends and rank <= y_ends:
+                    known = False
+                elif x_ends <= y_ends and i + 1 < len(ending):
+                    i += 1
+                elif j + 1 < len(beginning):
+                    j += 1
+                else:
+                    break
+            self.beside[left, right] = known
         return known
 
-    def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        """Determinise one transition: the next state and the tokens settled by this byte."""
-        paths, ended = [], None
-        for node, waiting, last in state.paths:
-            node = self.child.get(node << 8 | byte)
+    def advance(self, paths: tuple | list, byte: int) -> tuple[list, tuple[int, ...]]:
+        """Live paths after one more byte, and the tokens that this byte settles."""
+        after, ended, child, ends = [], None, self.child, self.ends
+        for node, waiting, last in paths:
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            paths.append((node, waiting, last))
-            token = self.ends.get(node)
-            if ended is None and token is not None and self.may_follow(last, token):
+            after.append((node, waiting, last))
+            if ended is None and (token := ends.get(node)) is not None and self.may_follow(last, token):
                 ended = (0, (*waiting, token), token)
         if ended is None:
             raise ValueError("the vocabulary can't spell this byte")
-        paths.append(ended)
-        shared = os.path.commonprefix([p[1] for p in paths])
+        after.append(ended)
+        shared = after[0][1]
         if shared:
-            paths = [(node, waiting[len(shared) :], last) for node, waiting, last in paths]
+            for _, waiting, _ in after:
+                while shared and waiting[: len(shared)] != shared:
+                    shared = shared[:-1]
+            if shared:
+                after = [(node, waiting[len(shared) :], last) for node, waiting, last in after]
+        return after, shared
+
+    def state(self, paths: tuple | list) -> _State:
+        """The state of a set of live paths."""
         key = tuple(paths)
-        after = self.states.get(key)
-        if after is None:
-            after = self.states[key] = _State(key)
-        state.to[byte] = made = (after, tuple(shared))
-        return made
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = _State(key)
+        return found
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """Tokens of one piece of text, byte by byte."""
-        state, out = self.start, []
-        for byte in piece.encode():
-            state, settled = state.to.get(byte) or self.step(state, byte)
-            if settled:
+        """Tokens of one piece of text, byte by byte.
+
+        Where a transition is missing it is made, and the machine runs on without
+        making states for a while: only what comes again is worth one.
+        """
+        raw, state, out, i = piece.encode(), self.start, [], 0
+        while i < len(raw):
+            move = state.to.get(raw[i])
+            i += 1
+            if move is not None:
+                state, settled = move
                 out += settled
+                continue
+            paths, settled = self.advance(state.paths, raw[i - 1])
+            made = self.state(paths)
+            state.to[raw[i - 1]] = made, settled
+            out += settled
+            stop = min(len(raw), i + _UNMADE)
+            while i < stop:
+                paths, settled = self.advance(paths, raw[i])
+                out += settled
+                i += 1
+            if i == len(raw):
+                return (*out, *paths[-1][1])
+            state = self.state(paths)
         return (*out, *state.paths[-1][1])
 
     def encode(self, text: str) -> list[tuple[int, ...]]:
         """Tokens of each piece of a text, in order."""
-        words, out = self.words, []
+        pieces, words = _pieces().findall(text), self.words
         if len(self.states) > _MOST_STATES:
             self.forget()
-        for piece in _pieces().findall(text):
-            ids = words.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) < 40:
-                    if len(words) >= _MOST_WORDS:
-                        words.clear()
-                    words[piece] = ids
-            out.append(ids)
+            gc.collect()
+        if len(words) > _MOST_WORDS:
+            words.clear()
+        new = set(pieces).difference(words)
+        for piece in new:
+            words[piece] = self.encode_piece(piece)
+        out = list(map(words.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > 60:
+                del words[piece]
         return out
 
 
@@ -237,6 +299,16 @@ def transducer(vocabulary: bytes) -> Transducer:
     return _KEPT[key]
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the collector's passes over the many states, none of which is garbage before ``forget``."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
     column = flat(batch, "text")
     for lo in range(0, batch.num_rows, _DOCUMENTS):
@@ -256,10 +328,11 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DE
         for batch in batches:
             for lo, texts in _texts(batch):
                 flat_ids, sizes = [], [0]
-                for text in texts:
-                    if text:
-                        flat_ids.extend(chain.from_iterable(machine.encode(text)))
-                    sizes.append(len(flat_ids))
+                with _uncollected():
+                    for text in texts:
+                        if text:
+                            flat_ids.extend(chain.from_iterable(machine.encode(text)))
+                        sizes.append(len(flat_ids))
                 ids = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.array(flat_ids, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), ids], names=[id_col, "ids"])
 
@@ -277,7 +350,8 @@ def count_tokens(df: DataFrame, text_col: str, out_col: str, vocabulary: str = D
         for batch in batches:
             n = []
             for _, texts in _texts(batch):
-                n += [sum(map(len, machine.encode(text))) if text else 0 for text in texts]
+                with _uncollected():
+                    n += [sum(map(len, machine.encode(text))) if text else 0 for text in texts]
             kept = [batch.column(i) for i in range(len(others))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], names=[*others, out_col])
 
