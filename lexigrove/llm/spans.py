@@ -145,6 +145,20 @@ def _seeds(span: int, k: int):
     return run
 
 
+def _surroundings(reach: int, k: int):
+    """Cut each seed of a text out with ``reach`` characters to either side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, text, at in zip(*(flat(batch, n).to_pylist() for n in ("tid", "text", "at"))):
+                for lo in range(0, len(at), 8192):
+                    cut = [(tid, s["h"], p := s["pos"], text[max(0, p - reach) : p], text[p : p + k], text[p + k : p + k + reach]) for s in at[lo : lo + 8192]]
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut), kinds)], names=["tid", "h", "pos", "left", "seed", "right"])
+
+    return run
+
+
 _MATCH = "a long, b long, pa int, pb int, l int, r int"
 
 
@@ -305,20 +319,11 @@ class SharedSpans:
         """Each matched seed with the text around it, once for each text and surrounding."""
         first = self.members.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
         at = matched.groupBy("tid").agg(F.collect_list(F.struct("h", "pos")).alias("at"))
-        wanted = stage(at.join(first, "tid"), "wanted")
-        size = wanted.agg(F.sum(F.size("at") * 24 + 64).alias("b")).first()["b"] or 0
+        wanted = at.join(first, "tid")
+        size = matched.count() * 96  # a seed's bytes and, at most, those of its text's row
         side = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
-        reach = self.span - self.k
-        rows = self.texts.join(side, ["tid", "doc_id"]).select("tid", "text", F.explode("at").alias("s")).select("tid", "s.h", "s.pos", "text")
-        lead = F.least(F.col("pos"), F.lit(reach))
-        cut = rows.select(
-            "tid",
-            "h",
-            "pos",
-            F.substring("text", F.col("pos") - lead + 1, lead).alias("left"),
-            F.substring("text", F.col("pos") + 1, F.lit(self.k)).alias("seed"),
-            F.substring("text", F.col("pos") + self.k + 1, F.lit(reach)).alias("right"),
-        )
+        rows = self.texts.join(side, ["tid", "doc_id"]).select("tid", "text", "at")
+        cut = rows.mapInArrow(_surroundings(self.span - self.k, self.k), "tid long, h long, pos int, left string, seed string, right string")
         return cut.groupBy("tid", "h", "left", "seed", "right").agg(F.min("pos").alias("pos"), F.array_distinct(F.collect_list("pos")).alias("places"))
 
     def _matches(self) -> DataFrame:
@@ -342,7 +347,8 @@ class SharedSpans:
         reach, whole = self.span - self.k, F.concat("left", "seed", "right")
         lead = F.char_length("left")
         cut = F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda o: F.when((o <= lead) & (lead - o + self.span <= F.char_length(whole)), F.xxhash64(F.substring(whole, lead - o + 1, F.lit(self.span)))))
-        one = rows.select("h", "tid", "pos", cut.alias("cut")).select("h", "tid", "pos", "cut", F.posexplode("cut").alias("o", "win")).where("win IS NOT NULL")
+        # The outer form, as the inner one has the optimizer cut windows of all seeds to test whether there are any.
+        one = rows.select("h", "tid", "pos", cut.alias("cut")).select("h", "tid", "pos", "cut", F.posexplode_outer("cut").alias("o", "win")).where("win IS NOT NULL")
         one = one.select("h", "o", "win", "tid", "pos", F.get("cut", F.col("o") + 1).alias("after"), F.get("cut", F.col("o") - 1).alias("before"))
         a = one.select("h", "o", "win", *(F.col(c).alias(n) for c, n in (("tid", "a"), ("pos", "pa"), ("after", "after_a"), ("before", "before_a"))))
         b = one.select("h", "o", "win", *(F.col(c).alias(n) for c, n in (("tid", "b"), ("pos", "pb"), ("after", "after_b"), ("before", "before_b"))))
