@@ -16,6 +16,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType
 
 from lexigrove.llm import bitmaps
 from lexigrove.llm.text import plain_line
@@ -26,22 +27,22 @@ LEAST_DOCUMENTS = 5
 ONE_OF = 10
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _container(low: pd.Series) -> pd.Series:
     return low.map(bitmaps.encode)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _united(containers: pd.Series) -> pd.Series:
     return containers.map(lambda c: bitmaps.union([bytes(x) for x in c]))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _cardinality(container: pd.Series) -> pd.Series:
     return container.map(bitmaps.cardinality)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _holds(container: pd.Series, low: pd.Series) -> pd.Series:
     return pd.Series([bitmaps.contains(c, n) for c, n in zip(container, low)], dtype=bool)
 
