@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lexigrove.functions.analysis import types
 from lexigrove.functions.stemmer import stem_terms
@@ -65,12 +68,14 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 def gaps(numbers: Column) -> Column:
     """An ascending array as its first number and the differences."""
-    return F.zip_with(numbers, F.concat(F.array(F.lit(0)), F.slice(numbers, 1, F.greatest(F.size(numbers) - 1, F.lit(0)))), lambda x, before: x - before)
+    before = F.slice(F.concat(F.array(F.lit(0)), numbers), 1, F.size(numbers))
+    return F.zip_with(numbers, before, lambda x, y: x - y)
 
 
-def ungap(differences: Column) -> Column:
-    """The inverse of :func:`gaps`."""
-    return F.aggregate(differences, F.array().cast("array<int>"), lambda acc, d: F.concat(acc, F.array(d + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
+@F.pandas_udf(ArrayType(IntegerType()))
+def ungap(differences: pd.Series) -> pd.Series:
+    """The inverse of :func:`gaps`; a running sum, which built-in array functions only give in quadratic time."""
+    return differences.map(lambda d: np.cumsum(d, dtype=np.int32), na_action="ignore")
 
 
 def merge_blocks(blocks: DataFrame) -> DataFrame:
