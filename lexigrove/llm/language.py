@@ -286,16 +286,22 @@ class Identifier:
 
     @staticmethod
     def runs(path: np.ndarray) -> list[list[int]]:
-        """Stretches ``[language, begin, end]`` of at least ``MIN_WORDS`` words; shorter ones fall to their neighbours."""
+        """Stretches ``[language, begin, end]`` of at least ``MIN_WORDS`` words; shorter ones fall to their neighbours.
+
+        Those within one language go first, then the shortest; between two
+        languages the longer neighbour takes them.
+        """
         cuts = np.flatnonzero(np.diff(path)) + 1
         begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(path)]])
         runs = [[int(path[b]), int(b), int(e)] for b, e in zip(begins, ends)]
         while len(runs) > 1:
-            i = min(range(len(runs)), key=lambda j: runs[j][2] - runs[j][1])
-            if runs[i][2] - runs[i][1] >= MIN_WORDS:
+            short = [i for i, (_, b, e) in enumerate(runs) if e - b < MIN_WORDS]
+            if not short:
                 break
+            within = {i for i in short if 0 < i < len(runs) - 1 and runs[i - 1][0] == runs[i + 1][0]}
+            i = min(short, key=lambda j: (j not in within, runs[j][2] - runs[j][1]))
             _, begin, end = runs.pop(i)
-            if 0 < i < len(runs) and runs[i - 1][0] == runs[i][0]:
+            if i in within:
                 runs[i - 1][2] = runs.pop(i)[2]
             elif i and (i == len(runs) or runs[i - 1][2] - runs[i - 1][1] >= runs[i][2] - runs[i][1]):
                 runs[i - 1][2] = end
