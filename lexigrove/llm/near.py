@@ -14,39 +14,119 @@ Documents with the same words are one row; they come back at the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm.text import words_text
+from lexigrove.operators.ranges import flat
 from lexigrove.session import release, stage
 
 NGRAM = 3
 #: Similarity as a fraction, so that the bounds are exact.
 SIMILARITY = (3, 5)
+#: Bytes up to which a staged table is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 _WORDS = 8  # longs in a sketch
+_SKETCH = [f"s{w}" for w in range(_WORDS)]
 _ROUNDS = 60
+_DOCUMENTS = 512
+_MOST_WORDS = 300_000
+
+
+def _small(df: DataFrame, row_bytes: int) -> DataFrame | None:
+    """A staged table marked for broadcast, or None if it is too large for that."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else None
+
+
+def _mixed(v: np.ndarray) -> np.ndarray:
+    v = (v ^ (v >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    v = (v ^ (v >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+    return v ^ (v >> np.uint64(32))
+
+
+def _matrix(n: int):
+    """Rows of the incidence matrix: distinct n-gram hashes of each text, and the parity sketch of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            reps, texts = flat(batch, "rep").to_numpy(zero_copy_only=False), flat(batch, "words")
+            for lo in range(0, batch.num_rows, _DOCUMENTS):
+                split = [t.split(" ") for t in texts.slice(lo, _DOCUMENTS).to_pylist()]
+                sizes = np.array([len(w) for w in split])
+                long = sizes >= n
+                if not long.any():
+                    continue
+                if len(known) > _MOST_WORDS:
+                    known.clear()
+                for word in set(chain.from_iterable(split)).difference(known):
+                    known[word] = xxhash.xxh64_intdigest(word)
+                words = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+                begins = np.cumsum(sizes) - sizes
+                runs = np.maximum(sizes - (n - 1), 0)
+                doc = np.repeat(np.arange(len(sizes)), runs)
+                at = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(begins, runs)
+                grams = _mixed(words[at])
+                for k in range(1, n):
+                    grams = _mixed(grams * np.uint64(0x9FB21C651E98DF25) + words[at + k])
+                order = np.lexsort((grams, doc))
+                grams, doc = grams[order], doc[order]
+                fresh = np.ones(len(grams), bool)
+                fresh[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
+                grams, doc = grams[fresh], doc[fresh]
+                counts = np.bincount(doc, minlength=len(sizes))[long]
+                sketch = np.zeros((len(sizes), _WORDS), np.uint64)
+                np.bitwise_xor.at(sketch, (doc, (grams >> np.uint64(6) & np.uint64(_WORDS - 1)).astype(np.int64)), np.uint64(1) << (grams & np.uint64(63)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(grams.view(np.int64)))
+                parities = [pa.array(np.ascontiguousarray(sketch[long, w]).view(np.int64)) for w in range(_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(reps[lo : lo + len(sizes)][long]), pa.array(counts.astype(np.int32)), *parities, lists], names=["rep", "n", *_SKETCH, "grams"])
+
+    return run
+
+
+def _heads(p: int, q: int):
+    """Of each row, whose cells come together, the columns at the beginning in which a partner must be met.
+
+    That are the first ``n - ceil(p n / q) + 1`` of all columns by rising
+    frequency; columns that no other row has come first and are left out.
+    """
 
-
-def _grams(n: int) -> Column:
-    """Distinct hashes of the runs of ``n`` words of the column ``parts``; null where there are fewer."""
-    size, parts = F.size("parts"), F.col("parts")
-    lanes = [F.slice(parts, k + 1, F.greatest(size - (n - 1), F.lit(0))) for k in range(n)]
-    runs = F.transform(lanes[0], lambda w: F.xxhash64(w))
-    for lane in lanes[1:]:
-        runs = F.zip_with(runs, lane, lambda h, w: F.xxhash64(h, w))
-    return F.when(size >= n, F.array_distinct(runs))
-
-
-def _sketch(grams: str) -> list[Column]:
-    """Parity of the number of n-grams that fall on each of the sketch's bits."""
-
-    def part(word: int) -> Column:
-        mine = F.filter(F.col(grams), lambda g: F.shiftrightunsigned(g, 6).bitwiseAND(F.lit(_WORDS - 1)) == word)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63)).cast("int")))).alias(f"s{word}")
-
-    return [part(w) for w in range(_WORDS)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def emit(cells: list[np.ndarray]) -> pa.RecordBatch:
+            rep, n, g, df = cells
+            order = np.lexsort((g, df, rep))
+            rep, n, g = rep[order], n[order], g[order]
+            begins = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]]))
+            sizes = np.diff(np.append(begins, len(rep)))
+            place = np.arange(len(rep)) - np.repeat(begins, sizes)
+            head = n - (n * p + q - 1) // q + 1 - (n - np.repeat(sizes, sizes))
+            take = place < head
+            return pa.RecordBatch.from_arrays([pa.array(rep[take]), pa.array(n[take].astype(np.int32)), pa.array(g[take])], names=["rep", "n", "g"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = [flat(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "n", "g", "df")]
+            if kept:
+                cells = [np.concatenate([a, b]) for a, b in zip(kept, cells)]
+            last = np.flatnonzero(cells[0] != cells[0][-1])
+            cut = last[-1] + 1 if len(last) else 0  # the last row may go on in the next batch
+            kept = [c[cut:] for c in cells]
+            if cut:
+                yield emit([c[:cut] for c in cells])
+        if kept:
+            yield emit(kept)
+
+    return run
 
 
 class NearDuplicates:
@@ -69,43 +149,38 @@ class NearDuplicates:
         self.members = stage(keyed.join(reps, "k").select("doc_id", "rep", "size"), "members")
         self.pairs = stage(self._pairs(), "pairs")
 
-    def _incidence(self) -> DataFrame:
-        parts = self.rows.select("rep", F.split("words", " ", -1).alias("parts"))
-        return parts.select("rep", _grams(self.n).alias("grams")).where("grams IS NOT NULL")
-
     def _least(self, size_a: Column, size_b: Column) -> Column:
         """Overlap that two rows of these sizes need: ceil(p (a + b) / (p + q))."""
         total = (size_a + size_b) * self.p
         return F.floor((total + (self.p + self.q - 1)) / (self.p + self.q))
 
     def _pairs(self) -> DataFrame:
-        matrix = self._incidence()
-        entries = matrix.select(F.explode("grams").alias("g"))
-        columns = entries.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-        cells = matrix.select("rep", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-        columns = stage(columns, "columns")
-        shared = cells.join(columns, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("row"))
-        # The first columns of a row, of which a partner has one: n - ceil(p n / q) + 1, the unshared ones first.
-        head = F.col("n") - F.floor((F.col("n") * self.p + (self.q - 1)) / self.q) + 1 - (F.col("n") - F.size("row"))
-        begins = shared.select("rep", "n", F.slice("row", F.lit(1), F.greatest(head, F.lit(0)).cast("int")).alias("head"), F.transform("row", lambda c: c["g"]).alias("grams")).where(F.size("head") > 0)
-        # Unshared columns differ from every other row's, so they count in full on top of the sketch.
-        sketched = begins.select("rep", "n", (F.col("n") - F.size("grams")).alias("alone"), *_sketch("grams"), "head")
-        block = sketched.withColumn("c", F.explode("head")).select("rep", "n", "alone", *(f"s{w}" for w in range(_WORDS)), F.col("c.g").alias("g"))
-        block = stage(block, "block")
-        a = block.select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"), *(F.col(f"s{w}").alias(f"a{w}") for w in range(_WORDS)))
-        b = block.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("alone").alias("ub"), *(F.col(f"s{w}").alias(f"b{w}") for w in range(_WORDS)))
-        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(_WORDS)))
+        parities = ", ".join(f"{c} long" for c in _SKETCH)
+        matrix = stage(self.rows.mapInArrow(_matrix(self.n), f"rep long, n int, {parities}, grams array<long>"), "matrix")
+        counted = matrix.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").cast("int").alias("df"))
+        columns = stage(counted.where("df > 1"), "columns")
+        cells, small = matrix.select("rep", "n", F.explode("grams").alias("g")), _small(columns, 32)
+        # A broadcast leaves a row's cells together as they are read; after a shuffle they are brought together again.
+        shared = cells.join(small, "g") if small is not None else cells.join(columns, "g").repartition("rep").sortWithinPartitions("rep")
+        heads = shared.select("rep", "n", "g", "df").mapInArrow(_heads(self.p, self.q), "rep long, n int, g long")
+        sketches, one = matrix.select("rep", *_SKETCH), _small(matrix.select("rep"), 96)
+        block = stage(heads.join(F.broadcast(sketches) if one is not None else sketches, "rep"), "block")
+        a = block.select("g", F.col("rep").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in _SKETCH))
+        b = block.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in _SKETCH))
+        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _SKETCH))
         na, nb = F.col("na"), F.col("nb")
         sizes = (na * self.q >= nb * self.p) & (nb * self.q >= na * self.p)
-        bound = na + nb - (apart + F.col("ua") + F.col("ub")) >= 2 * self._least(na, nb)
-        met = a.join(b, "g").where((F.col("a") < F.col("b")) & sizes & bound).select("a", "b", "na", "nb").distinct()
-        met = stage(met, "met")
+        bound = na + nb - apart >= 2 * self._least(na, nb)
+        met = stage(a.join(b, "g").where((F.col("a") < F.col("b")) & sizes & bound).select("a", "b", "na", "nb").distinct(), "met")
         release(columns, block)
-        rows = self._incidence()
-        left = met.join(rows.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a")
-        both = left.join(rows.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
+        first, second = met, met.select("b").distinct()
+        if _small(met, 48) is not None:
+            first, second = F.broadcast(met), F.broadcast(second)
+        left = matrix.select(F.col("rep").alias("a"), F.col("grams").alias("ga")).join(first, "a")
+        right = matrix.select(F.col("rep").alias("b"), F.col("grams").alias("gb")).join(second, "b", "left_semi")
         overlap = F.size(F.array_intersect("ga", "gb"))
-        return both.where(overlap * self.q >= (F.col("na") + F.col("nb") - overlap) * self.p).select("a", "b", overlap.alias("overlap"), (F.col("na") + F.col("nb") - overlap).alias("either"))
+        either = F.col("na") + F.col("nb") - overlap
+        return left.join(right, "b").where(overlap * self.q >= either * self.p).select("a", "b", overlap.alias("overlap"), either.alias("either"))
 
     def document_pairs(self) -> DataFrame:
         """``(doc_id_a, doc_id_b)`` of all documents that are near each other, equal ones included."""
