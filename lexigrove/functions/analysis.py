@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# White space as Python's str.isspace has it, and the line ends of str.splitlines, in Java's syntax.
-SPACE = r"[\t\n\x0B\f\r\x1c-\x1f \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# White space as Python's str.isspace has it, and the line ends of str.splitlines in Java's syntax.
+_SPACE_POINTS = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACES = "".join(map(chr, _SPACE_POINTS))
 LINE_ENDS = r"\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029"
 
 #: What separates tokens, by document format; formats that aren't listed are read like ``txt``.
@@ -28,7 +29,7 @@ def pieces(content: Column, fmt: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Text without outer white space of any kind."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tokens(documents: DataFrame) -> DataFrame:
@@ -52,7 +53,9 @@ def clean_type(raw: Column) -> Column:
     """Edges trimmed to ASCII letters and digits; quotes, spaces and non-ASCII characters deleted; lower case."""
     trimmed = F.regexp_replace(raw, "^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", "")
     unquoted = F.translate(trimmed, "\"' ", "")
-    return F.lower(F.regexp_replace(unquoted, r"[^\x00-\x7F]+", ""))
+    cleaned = F.lower(F.regexp_replace(unquoted, r"[^\x00-\x7F]+", ""))
+    # Most types are clean already, which one look without a copy tells.
+    return F.when(raw.rlike("^[a-z0-9]++$"), raw).otherwise(cleaned)
 
 
 def types(documents: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The English Snowball stemmer (Porter2), from its published definition.
 
-Stems are made once for each distinct type, in an Arrow-batched UDF, and joined
-back; so the slow path sees the vocabulary, not the text.
+Stems are made in an Arrow-batched UDF, once for each distinct word of a batch;
+the most frequent ones are kept by the process.  Nothing is shuffled for them.
 """
 
 from __future__ import annotations
@@ -154,13 +154,13 @@ def stem(word: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def _stems(word: pd.Series) -> pd.Series:
-    return word.map(stem, na_action="ignore")
+def stemmed(word: pd.Series) -> pd.Series:
+    """Stems of a column of words; each distinct word of a batch is stemmed once."""
+    codes, distinct = pd.factorize(word)
+    stems = pd.Series([stem(w) for w in distinct] + [None], dtype=object)
+    return stems.take(codes).reset_index(drop=True)
 
 
 def stem_terms(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``term`` stemmed, by a join with the stems of the distinct terms."""
-    # Distinct terms are spread anew, so that few heavy input partitions don't hold all the UDF's work.
-    stems = rows.select("term").distinct().select("term", _stems("term").alias("stem"))
-    others = [c for c in rows.columns if c != "term"]
-    return rows.join(stems, "term").select(*others, F.col("stem").alias("term"))
+    """``rows`` with ``term`` stemmed; null stays null."""
+    return rows.withColumn("term", stemmed("term"))

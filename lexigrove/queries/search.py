@@ -14,9 +14,10 @@ from lexigrove.functions import analysis
 from lexigrove.functions.stemmer import stem_terms
 from lexigrove.operators import index as ix
 from lexigrove.operators import ranking, spelling
+from lexigrove.plans.ast import Node, TermLiteral
 from lexigrove.plans.compiler import Compiler
 from lexigrove.plans.parser import English, parse, ranked_terms
-from lexigrove.session import table
+from lexigrove.session import stage, table
 from lexigrove.sources.files import json_files
 
 PLAIN = English(stemmed=False)
@@ -27,7 +28,7 @@ MISSPELT = "harbr museun quiett"
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The indexed view of the table."""
-    return ix.documents_view(table(spark, sf_dir, "documents"))
+    return ix.documents_view(table(spark, sf_dir, "documents", spread=True))
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +102,18 @@ def doc_weights_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir).select("doc_id", F.round("l_d_tf", 6).alias("l_d"))
 
 
+def _compiled(spark: SparkSession, sf_dir: str, text: str, strict: bool = False) -> tuple[Compiler, Node]:
+    """A query's tree, and the compiler over the postings of its terms, which are made in one pass over the texts."""
+    tree = parse(text, PLAIN, strict)
+    terms = sorted({n.term for n in tree.walk() if isinstance(n, TermLiteral)})
+    asked = stage(ix.postings(occurrences(spark, sf_dir).where(F.col("term").isin(terms))), "asked")
+    return Compiler(asked, documents(spark, sf_dir), strict), tree
+
+
 def _boolean(text: str, strict: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tree = parse(text, PLAIN, strict)
-        return Compiler(_postings(spark, sf_dir), documents(spark, sf_dir), strict).docs(tree)
+        compiler, tree = _compiled(spark, sf_dir, text, strict)
+        return compiler.docs(tree)
 
     run.__doc__ = f"Documents for the query: {text}"
     return run
@@ -112,24 +121,30 @@ def _boolean(text: str, strict: bool = False) -> Callable[[SparkSession, str], D
 
 def phrase_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a phrase ends in each document."""
-    rows = Compiler(_postings(spark, sf_dir), documents(spark, sf_dir)).matched(parse('"of the"', PLAIN))
+    compiler, tree = _compiled(spark, sf_dir, '"of the"')
+    rows = compiler.matched(tree)
     return rows.select("doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
 def or_first_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OR with the positions of the first component that a document has."""
-    rows = Compiler(_postings(spark, sf_dir), documents(spark, sf_dir)).matched(parse("quiet + harbor", PLAIN))
+    compiler, tree = _compiled(spark, sf_dir, "quiet + harbor")
+    rows = compiler.matched(tree)
     return rows.select("doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
+def _rank(spark: SparkSession, sf_dir: str, terms: list[str], mode: str, stemmed: bool) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = ix.occurrences(docs, stemmed)
+    # Document statistics and the asked terms' frequencies are made once, as an index would have them.
+    stats = stage(ix.doc_stats(docs, rows), "doc_stats")
+    posted = stage(ix.term_frequencies(rows.where(F.col("term").isin(terms))), "asked")
+    return ranking.rank(terms, posted, stats, ix.corpus_stats(stats), mode)
+
+
 def _ranked(text: str, mode: str, limit: int | None, offset: int = 0) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = documents(spark, sf_dir)
-        rows = ix.occurrences(docs)
-        stats = ix.doc_stats(docs, rows)
-        terms = ranked_terms(text, PLAIN)
-        posted = ix.term_frequencies(rows.where(F.col("term").isin(terms)))
-        ranked = ranking.rank(terms, posted, stats, ix.corpus_stats(stats), mode)
+        ranked = _rank(spark, sf_dir, ranked_terms(text, PLAIN), mode, False)
         return ranking.page(ranked, limit, offset).select("doc_id", "score", "first_term")
 
     run.__doc__ = f"Documents for {text!r} by {mode}"
@@ -223,12 +238,7 @@ def stem_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over stems."""
-    docs = documents(spark, sf_dir)
-    rows = ix.occurrences(docs, stemmed=True)
-    stats = ix.doc_stats(docs, rows)
-    terms = ranked_terms("quietly walking harbors")
-    posted = ix.term_frequencies(rows.where(F.col("term").isin(terms)))
-    return ranking.page(ranking.rank(terms, posted, stats, ix.corpus_stats(stats), "bm25"), 10)
+    return ranking.page(_rank(spark, sf_dir, ranked_terms("quietly walking harbors"), "bm25", True), 10)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -66,6 +66,23 @@ def _release_all() -> None:
             return
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes of compressed input below which a task isn't worth its start.
+_TASK_BYTES = 256 << 10
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the driver's Parquet tables.
+
+    ``spread`` is for work that is heavy for each row: a table of fewer row
+    groups than the cluster has cores is dealt out to more tasks first.  Tables
+    that fill the cores are read as they are, without a shuffle.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(max(1, min(cores, -(-size // _TASK_BYTES))))
+    return df
