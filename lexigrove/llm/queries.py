@@ -39,7 +39,7 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf_dir: str) -> p3.NearDuplicates:
-    return p3.NearDuplicates(table(spark, sf_dir, "json_documents"), "doc_id", ["title", "body"])
+    return p3.NearDuplicates(table(spark, sf_dir, "json_documents", spread=True), "doc_id", ["title", "body"])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4.identify(table(spark, sf_dir, "json_documents"), "doc_id", "body", "lang_label", table(spark, sf_dir, "language_samples"))
+    return p4.identify(table(spark, sf_dir, "json_documents", spread=True), "doc_id", "body", "lang_label", table(spark, sf_dir, "language_samples"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repeated(spark: SparkSession, sf_dir: str) -> p5.RepeatedLines:
-    return p5.RepeatedLines(table(spark, sf_dir, "json_documents"), "doc_id", "site", "body")
+    return p5.RepeatedLines(table(spark, sf_dir, "json_documents", spread=True), "doc_id", "site", "body")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,19 +87,19 @@ def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the byte-level vocabulary."""
-    return p6.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return p6.encode_texts(table(spark, sf_dir, "documents", spread=True), "doc_id", "text")
 
 
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of ids of every text, and whether they decode to the text again."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
+    documents = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
     ids = p6.encode_texts(documents, "doc_id", "original")
     again = p6.decode_ids(ids, "doc_id", "ids").select("doc_id", F.xxhash64("text").alias("h"))
     return documents.select("doc_id", F.xxhash64("original").alias("h0")).join(again, "doc_id").select("doc_id", (F.col("h") == F.col("h0")).alias("same"))
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> p7.Mixture:
-    return p7.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+    return p7.Mixture(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "mixture_targets"))
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,18 +114,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a run of at least 200 characters in common."""
-    return p8.SharedSpans(table(spark, sf_dir, "documents"), "doc_id", "text").document_pairs()
+    return p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").document_pairs()
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages that different texts share, exact or with small changes inside."""
-    return p8.SharedSpans(table(spark, sf_dir, "documents"), "doc_id", "text").text_passages()
+    return p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").text_passages()
 
 
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document's text is shared with another; nothing for null and short texts."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    shared = p8.SharedSpans(table(spark, sf_dir, "documents"), "doc_id", "text").shared_extent().select("doc_id", "n_shared")
+    documents = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    shared = p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").shared_extent().select("doc_id", "n_shared")
     return documents.join(shared, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
 
