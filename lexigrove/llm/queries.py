@@ -181,7 +181,20 @@ _NEAR = r"""
     SELECT x AS doc_id_a, y AS doc_id_b FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE c * 5 >= (s.n + t.n - c) * 3
 """
 
+_SPANS = """
+    WITH long AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+    cut AS (SELECT DISTINCT doc_id, substr(text, i, 200) AS w FROM long)
+    SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM cut a JOIN cut b USING (w) WHERE a.doc_id < b.doc_id
+"""
+
 LLM_SQL = {
+    "p8_found": _SPANS,
+    "p5_cleaned": _LINES
+    + """, marked AS (
+            SELECT l.doc_id, l.line_no, e.line IS NOT NULL AS gone, string_split(d.body, chr(10))[l.line_no] AS raw
+            FROM lines l LEFT JOIN excessive e USING (site, line) JOIN docs d USING (doc_id, site))
+        SELECT DISTINCT j.doc_id, CASE WHEN j.site IS NULL OR j.body IS NULL THEN j.body ELSE coalesce(m.body, '') END AS body
+        FROM json_documents j LEFT JOIN (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone) AS body FROM marked GROUP BY doc_id) m USING (doc_id)""",
     "p3_found": _NEAR,
     "p5_found": _LINES + "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN excessive USING (site, line)",
     "p5_lines": _LINES + "SELECT site, line, n_docs FROM excessive",
