@@ -52,7 +52,7 @@ def _mixed(v: np.ndarray) -> np.ndarray:
 
 
 def _matrix(n: int):
-    """Rows of the incidence matrix: distinct n-gram hashes of each text, and the parity sketch of them."""
+    """Rows of the incidence matrix: the distinct n-gram hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -82,11 +82,8 @@ def _matrix(n: int):
                 fresh[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
                 grams, doc = grams[fresh], doc[fresh]
                 counts = np.bincount(doc, minlength=len(sizes))[long]
-                sketch = np.zeros((len(sizes), _WORDS), np.uint64)
-                np.bitwise_xor.at(sketch, (doc, (grams >> np.uint64(6) & np.uint64(_WORDS - 1)).astype(np.int64)), np.uint64(1) << (grams & np.uint64(63)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(grams.view(np.int64)))
-                parities = [pa.array(np.ascontiguousarray(sketch[long, w]).view(np.int64)) for w in range(_WORDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(reps[lo : lo + len(sizes)][long]), pa.array(counts.astype(np.int32)), *parities, lists], names=["rep", "n", *_SKETCH, "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(reps[lo : lo + len(sizes)][long]), pa.array(counts.astype(np.int32)), lists], names=["rep", "n", "grams"])
 
     return run
 
@@ -95,7 +92,9 @@ def _heads(p: int, q: int):
     """Of each row, whose cells come together, the columns at the beginning in which a partner must be met.
 
     That are the first ``n - ceil(p n / q) + 1`` of all columns by rising
-    frequency; columns that no other row has come first and are left out.
+    frequency; the ``alone`` columns that no other row has come first and are left
+    out.  With them the parity sketch of the row's other columns: how many of
+    them fall on each bit, odd or even.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +106,17 @@ def _heads(p: int, q: int):
             rep, n, g = rep[order], n[order], g[order]
             begins = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]]))
             sizes = np.diff(np.append(begins, len(rep)))
-            place = np.arange(len(rep)) - np.repeat(begins, sizes)
-            head = n - (n * p + q - 1) // q + 1 - (n - np.repeat(sizes, sizes))
-            take = place < head
-            return pa.RecordBatch.from_arrays([pa.array(rep[take]), pa.array(n[take].astype(np.int32)), pa.array(g[take])], names=["rep", "n", "g"])
+            row = np.repeat(np.arange(len(begins)), sizes)
+            bits = g.view(np.uint64)
+            sketch = np.zeros((len(begins), _WORDS), np.uint64)
+            np.bitwise_xor.at(sketch, (row, (bits >> np.uint64(6) & np.uint64(_WORDS - 1)).astype(np.int64)), np.uint64(1) << (bits & np.uint64(63)))
+            n, alone = n[begins], n[begins] - sizes
+            heads = np.clip(n - (n * p + q - 1) // q + 1 - alone, 0, sizes)
+            take = np.arange(len(rep)) - begins[row] < heads[row]
+            met = heads > 0
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(heads[met])]).astype(np.int32)), pa.array(g[take]))
+            parities = [pa.array(np.ascontiguousarray(sketch[met, w]).view(np.int64)) for w in range(_WORDS)]
+            return pa.RecordBatch.from_arrays([pa.array(rep[begins][met]), pa.array(n[met].astype(np.int32)), pa.array(alone[met].astype(np.int32)), *parities, lists], names=["rep", "n", "alone", *_SKETCH, "head"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -156,23 +162,24 @@ class NearDuplicates:
 
     def _pairs(self) -> DataFrame:
         parities = ", ".join(f"{c} long" for c in _SKETCH)
-        matrix = stage(self.rows.mapInArrow(_matrix(self.n), f"rep long, n int, {parities}, grams array<long>"), "matrix")
+        matrix = stage(self.rows.mapInArrow(_matrix(self.n), "rep long, n int, grams array<long>"), "matrix")
         counted = matrix.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").cast("int").alias("df"))
         columns = stage(counted.where("df > 1"), "columns")
         cells, small = matrix.select("rep", "n", F.explode("grams").alias("g")), _small(columns, 32)
         # A broadcast leaves a row's cells together as they are read; after a shuffle they are brought together again.
         shared = cells.join(small, "g") if small is not None else cells.join(columns, "g").repartition("rep").sortWithinPartitions("rep")
-        heads = shared.select("rep", "n", "g", "df").mapInArrow(_heads(self.p, self.q), "rep long, n int, g long")
-        sketches, one = matrix.select("rep", *_SKETCH), _small(matrix.select("rep"), 96)
-        block = stage(heads.join(F.broadcast(sketches) if one is not None else sketches, "rep"), "block")
-        a = block.select("g", F.col("rep").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in _SKETCH))
-        b = block.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in _SKETCH))
-        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _SKETCH))
-        na, nb = F.col("na"), F.col("nb")
+        heads = shared.select("rep", "n", "g", "df").mapInArrow(_heads(self.p, self.q), f"rep long, n int, alone int, {parities}, head array<long>")
+        heads = stage(heads, "heads")
+        block = heads.withColumn("g", F.explode("head")).drop("head")
+        a, b = (block.select("g", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "alone", *_SKETCH))) for side in "ab")
+        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH), F.col("a_alone") + F.col("b_alone"))
+        na, nb = F.col("a_n"), F.col("b_n")
         sizes = (na * self.q >= nb * self.p) & (nb * self.q >= na * self.p)
         bound = na + nb - apart >= 2 * self._least(na, nb)
-        met = stage(a.join(b, "g").where((F.col("a") < F.col("b")) & sizes & bound).select("a", "b", "na", "nb").distinct(), "met")
-        release(columns, block)
+        ahead = F.col("a_rep") < F.col("b_rep")
+        met = a.join(b, "g").where(ahead & sizes & bound).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), na.alias("na"), nb.alias("nb"))
+        met = stage(met.distinct(), "met")
+        release(columns, heads)
         first, second = met, met.select("b").distinct()
         if _small(met, 48) is not None:
             first, second = F.broadcast(met), F.broadcast(second)
