@@ -310,7 +310,7 @@ def _uncollected() -> Iterator[None]:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
-    column = flat(batch, "text")
+    column = batch.column(batch.num_columns - 1)
     for lo in range(0, batch.num_rows, _DOCUMENTS):
         yield lo, column.slice(lo, _DOCUMENTS).to_pylist()
 
@@ -356,7 +356,7 @@ def count_tokens(df: DataFrame, text_col: str, out_col: str, vocabulary: str = D
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], names=[*others, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text_col)
-    return df.select(*(F.col(c) for c in others), F.col(text_col).alias("text")).mapInArrow(run, f"{schema}, `{out_col}` long")
+    return df.select(*(F.col(c) for c in others), F.col(text_col)).mapInArrow(run, f"{schema}, `{out_col}` long")
 
 
 def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
