@@ -18,7 +18,7 @@ from lexigrove.plans.ast import Node, TermLiteral
 from lexigrove.plans.compiler import Compiler
 from lexigrove.plans.parser import English, parse, ranked_terms
 from lexigrove.session import stage, table
-from lexigrove.sources.files import json_files
+from lexigrove.sources.files import json_files, xml_files
 
 PLAIN = English(stemmed=False)
 RANKED = "quiet harbor trail"
@@ -220,6 +220,13 @@ def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("path").cast("long").alias("file_id"), "title", "content")
 
 
+def xml_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and contents of XML documents made of the nations' names."""
+    text = F.format_string('<TEI xmlns="http://www.tei-c.org/ns/1.0"><head><title>%s</title></head><p>nation <b>%s</b> tail</p></TEI>', "n_name", F.col("n_nationkey").cast("string"))
+    raw = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), text.alias("value"))
+    return xml_files(raw).select("path", "title", "content")
+
+
 def spanish_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of the words of letters in the Spanish documents."""
     spanish = table(spark, sf_dir, "documents").where("lang = 'es'")
@@ -286,6 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_lines": result_lines,
     "doc_display": doc_display,
     "json_source": json_source,
+    "xml_source": xml_source,
     "spanish_terms": spanish_terms,
     "detect_language": detect_language,
     "stem_terms": stem_terms_query,
@@ -394,5 +402,6 @@ SQL: dict[str, str] = {
     "result_lines": f"SELECT doc_id, 'Document ID# ' || doc_id || ' - ' || title AS line FROM ({_TITLED})",
     "doc_display": "SELECT doc_id, title || ' (ID ' || doc_id || ')' AS display FROM documents WHERE title IS NOT NULL",
     "json_source": "SELECT file_id, coalesce(json_extract_string(raw_json, '$.title'), '') AS title, coalesce(json_extract_string(raw_json, '$.body'), '') AS content FROM json_files WHERE json_valid(raw_json)",
+    "xml_source": "SELECT CAST(n_nationkey AS VARCHAR) AS path, n_name AS title, n_name || chr(10) || 'nation ' || chr(10) || n_nationkey AS content FROM nation",
     "spanish_terms": r"SELECT term, count(*) AS cf FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w))) AS term FROM documents WHERE lang = 'es') WHERE regexp_full_match(term, '\p{L}+') GROUP BY term",
 }
