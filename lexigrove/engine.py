@@ -31,7 +31,7 @@ class SearchEngine:
     @staticmethod
     def create(corpus: Corpus, path: str, stemmed: bool = True, language: str = "english", strict: bool = False) -> SearchEngine:
         """Build the index of a corpus at ``path``, replacing one that is there."""
-        return SearchEngine(Index.build(corpus.documents, stemmed).save(path), language, strict)
+        return SearchEngine(Index.create(corpus.documents, path, stemmed), language, strict)
 
     @staticmethod
     def load(spark: SparkSession, path: str, language: str = "english", strict: bool = False) -> SearchEngine:

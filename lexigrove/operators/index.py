@@ -31,9 +31,9 @@ def occurrences(documents: DataFrame, stemmed: bool = False) -> DataFrame:
     return stem_terms(rows) if stemmed else rows
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """``(term, doc_id, tf, positions)`` of all terms but the empty one; positions ascend, repeats stay."""
-    full = rows.where("term <> ''").groupBy("term", "doc_id")
+def postings(rows: DataFrame, with_empty: bool = False) -> DataFrame:
+    """``(term, doc_id, tf, positions)`` of all terms, the empty one only on demand; positions ascend, repeats stay."""
+    full = (rows if with_empty else rows.where("term <> ''")).groupBy("term", "doc_id")
     return full.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
@@ -47,14 +47,14 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def doc_stats(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(doc_id, title, doc_length, l_d, l_d_tf)`` of every document; those without a token have zeros.
+def doc_stats(documents: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """``(doc_id, title, doc_length, l_d, l_d_tf)`` of every document from ``(doc_id, term, tf)``; those without a token have zeros.
 
     ``l_d`` is the Euclidean length of the log-weighted term frequencies,
     ``l_d_tf`` that of the plain ones; both count the empty term.
     """
     weight = F.pow(1 + F.log("tf"), 2)
-    by_doc = term_frequencies(rows).groupBy("doc_id").agg(F.sum("tf").alias("doc_length"), F.sqrt(F.sum(weight)).alias("l_d"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("l_d_tf"))
+    by_doc = frequencies.groupBy("doc_id").agg(F.sum("tf").alias("doc_length"), F.sqrt(F.sum(weight)).alias("l_d"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("l_d_tf"))
     zero = {"doc_length": 0, "l_d": 0.0, "l_d_tf": 0.0}
     return documents.select("doc_id", "title").join(by_doc, "doc_id", "left").fillna(zero)
 
@@ -99,22 +99,28 @@ class Index:
     def build(documents: DataFrame, stemmed: bool = True) -> Index:
         """Index of ``documents(doc_id, title, content, format)``; nothing runs yet."""
         rows = occurrences(documents, stemmed)
-        posted, stats = postings(rows), doc_stats(documents, rows)
+        posted, stats = postings(rows), doc_stats(documents, term_frequencies(rows))
         return Index(posted, term_stats(posted), stats, corpus_stats(stats), stemmed)
 
-    def save(self, path: str) -> Index:
-        """Write all tables, replacing an index that is there, and return the one read back.
-
-        Postings are ranged and sorted by term, so a term's rows lie in few row
-        groups and the scan skips the rest by their statistics.
+    @staticmethod
+    def create(documents: DataFrame, path: str, stemmed: bool = True) -> Index:
+        """Write the index of ``documents`` to ``path``, replacing one that is there, and open it.
+
+        Texts are gone through once: all other tables come from the written
+        postings, of which only the columns they need are read.  Postings are
+        ranged and sorted by term, so a term's rows lie in few row groups and a
+        scan skips the rest by their statistics.  The empty term's rows are
+        written too, for the documents' lengths, and left out when the index is
+        opened.
         """
-        spark = self.postings.sparkSession
-        ordered = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        ordered.write.mode("overwrite").parquet(f"{path}/postings")
-        terms = term_stats(spark.read.parquet(f"{path}/postings").select("term", "tf"))
+        spark = documents.sparkSession
+        full = postings(occurrences(documents, stemmed), with_empty=True)
+        full.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        written = spark.read.parquet(f"{path}/postings").select("term", "doc_id", "tf")
+        terms = term_stats(written.where("term <> ''"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        corpus_stats(spark.read.parquet(f"{path}/doc_stats")).withColumn("stemmed", F.lit(self.stemmed)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        doc_stats(documents, written).write.mode("overwrite").parquet(f"{path}/doc_stats")
+        corpus_stats(spark.read.parquet(f"{path}/doc_stats")).withColumn("stemmed", F.lit(stemmed)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")
         return Index.load(spark, path)
 
     @staticmethod
@@ -132,7 +138,7 @@ class Index:
             raise FileNotFoundError(f"no complete index at {path}")
         tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "doc_stats", "corpus_stats")}
         stemmed = tables["corpus_stats"].select("stemmed").first()["stemmed"]
-        return Index(tables["postings"], tables["term_stats"], tables["doc_stats"], tables["corpus_stats"].drop("stemmed"), stemmed, path)
+        return Index(tables["postings"].where("term <> ''"), tables["term_stats"], tables["doc_stats"], tables["corpus_stats"].drop("stemmed"), stemmed, path)
 
     def vocabulary(self) -> DataFrame:
         """Distinct terms in order."""

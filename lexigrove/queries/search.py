@@ -54,7 +54,7 @@ def occurrence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return ix.doc_stats(docs, ix.occurrences(docs))
+    return ix.doc_stats(docs, ix.term_frequencies(ix.occurrences(docs)))
 
 
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def _rank(spark: SparkSession, sf_dir: str, terms: list[str], mode: str, stemmed
     docs = documents(spark, sf_dir)
     rows = ix.occurrences(docs, stemmed)
     # Document statistics and the asked terms' frequencies are made once, as an index would have them.
-    stats = stage(ix.doc_stats(docs, rows), "doc_stats")
+    stats = stage(ix.doc_stats(docs, ix.term_frequencies(rows)), "doc_stats")
     posted = stage(ix.term_frequencies(rows.where(F.col("term").isin(terms))), "asked")
     return ranking.rank(terms, posted, stats, ix.corpus_stats(stats), mode)
 

@@ -22,9 +22,11 @@ def index_stream(documents: DataFrame, path: str, checkpoint: str, stemmed: bool
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        rows = occurrences(batch, stemmed)
-        postings(rows).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        doc_stats(batch, rows).write.mode("overwrite").parquet(f"{path}/doc_stats/batch={number}")
+        target = f"{path}/postings/batch={number}"
+        full = postings(occurrences(batch, stemmed), with_empty=True)
+        full.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(target)
+        written = batch.sparkSession.read.schema(full.schema).parquet(target).select("doc_id", "term", "tf")
+        doc_stats(batch, written).write.mode("overwrite").parquet(f"{path}/doc_stats/batch={number}")
         batch.unpersist()
 
     writer = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -33,7 +35,7 @@ def index_stream(documents: DataFrame, path: str, checkpoint: str, stemmed: bool
 
 def streamed_index(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
     """The index of all batches so far."""
-    posted = spark.read.parquet(f"{path}/postings").drop("batch")
+    posted = spark.read.parquet(f"{path}/postings").where("term <> ''").drop("batch")
     stats = spark.read.parquet(f"{path}/doc_stats").drop("batch")
     return Index(posted, term_stats(posted), stats, corpus_stats(stats), stemmed, path)
 

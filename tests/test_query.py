@@ -125,7 +125,7 @@ def test_rank_formulas(spark):
     data = [(1, "a a b"), (2, "a c"), (3, "b b b c"), (4, ""), (6, None), (7, "a c")]
     docs = documents(spark, data)
     occ = ix.occurrences(docs)
-    stats = ix.doc_stats(docs, occ)
+    stats = ix.doc_stats(docs, ix.term_frequencies(occ))
     posted, corpus = ix.postings(occ), ix.corpus_stats(stats)
     tfs = {i: {w: (t or "").split().count(w) for w in set((t or "").split())} for i, t in data}
     n, average = len(data), sum(sum(v.values()) for v in tfs.values()) / len(data)
