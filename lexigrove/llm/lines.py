@@ -68,9 +68,11 @@ class RepeatedLines:
         self.need = stage(need, "need")
         lines = taken.select("site", "doc_id", F.posexplode(F.split("body", "\n", -1)).alias("at", "line")).withColumn("plain", plain_line(F.col("line"))).where(F.col("plain").rlike(r"[\p{L}\p{N}]"))
         lines = lines.select("site", "doc_id", (F.col("at") + 1).alias("line_no"), F.unhex(F.md5("plain")).alias("line_key"), F.xxhash64("line").alias("way"))
+        lines = stage(lines, "lines")
         often = lines.groupBy("site", "line_key").agg(F.count("*").alias("n_rows")).join(self.need, "site").where("n_rows >= need").select("site", "line_key")
         block, low = F.shiftright("doc_id", bitmaps.BLOCK_BITS), F.col("doc_id").bitwiseAND(F.lit((1 << bitmaps.BLOCK_BITS) - 1)).cast("int")
         self.spots = stage(lines.join(often, ["site", "line_key"]).select("site", "line_key", "way", "doc_id", "line_no", block.alias("block"), low.alias("low")).distinct(), "spots")
+        release(lines)
         ways = self.spots.groupBy("site", "line_key", "way", "block").agg(F.collect_set("low").alias("low")).select("site", "line_key", "block", _container("low").alias("docs"))
         whole = ways.groupBy("site", "line_key", "block").agg(F.collect_list("docs").alias("docs")).select("site", "line_key", "block", _united("docs").alias("docs"))
         self.whole = stage(whole, "bitmaps")
