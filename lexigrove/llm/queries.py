@@ -118,8 +118,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passages that different texts share, exact or with small changes inside."""
-    return p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").text_passages()
+    """The stretches of each document's text that other documents share."""
+    return p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").shared_stretches()
 
 
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +187,20 @@ _SPANS = """
     SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM cut a JOIN cut b USING (w) WHERE a.doc_id < b.doc_id
 """
 
+_STRETCHES = """
+    WITH long AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+    cut AS (SELECT doc_id, i, substr(text, i, 200) AS w FROM long),
+    common AS (SELECT w FROM cut GROUP BY w HAVING min(doc_id) <> max(doc_id)),
+    hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM cut SEMI JOIN common USING (w)),
+    numbered AS (SELECT doc_id, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM hits),
+    stretches AS (SELECT doc_id, CAST(min(i) - 1 AS INTEGER) AS "begin", CAST(max(i) + 199 AS INTEGER) AS "end" FROM numbered GROUP BY doc_id, no)
+"""
+
 LLM_SQL = {
     "p8_found": _SPANS,
+    "p8_passages": _STRETCHES + 'SELECT doc_id, "begin", "end" FROM stretches',
+    "p8_shared": _STRETCHES + """SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shared
+        FROM documents d LEFT JOIN (SELECT doc_id, sum("end" - "begin") AS n FROM stretches GROUP BY doc_id) s USING (doc_id)""",
     "p5_cleaned": _LINES
     + """, marked AS (
             SELECT l.doc_id, l.line_no, e.line IS NOT NULL AS gone, string_split(d.body, chr(10))[l.line_no] AS raw

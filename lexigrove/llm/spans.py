@@ -296,8 +296,10 @@ class SharedSpans:
     """Passages that texts share, found once and read by each result.
 
     ``members``: ``(doc_id, tid, n)`` of each document whose text has at least
-    ``span`` characters; equal texts have one ``tid``.  ``matches``: pairs of
-    seeds in different texts ``a < b`` with the exact extent to either side.
+    ``span`` characters; equal texts have one ``tid``.  ``around``: each seed that
+    stands in several texts, with the text around it.  What each text shares is
+    told by its own windows, so it takes no pairs of the texts of a hot seed; only
+    :meth:`document_pairs` and :meth:`text_pairs` make those.
     Null, empty and shorter texts share nothing.  Rows whose id is null are left
     out; a repeated id with equal text counts once.  Other columns are ignored.
     """
@@ -313,7 +315,10 @@ class SharedSpans:
         release(seeds)
         self.around = stage(self._around(matched), "around")
         release(matched)
-        self.matches = stage(self._matches(), "matches")
+        heat = self.around.groupBy("h").agg((F.count("*") > HOT_TEXTS).alias("hot"))
+        rows = self.around.drop("places").join(heat, "h")
+        self.hot = rows.where("hot")
+        self.cold = stage(self._cold(rows.where("not hot")), "cold")
 
     def _around(self, matched: DataFrame) -> DataFrame:
         """Each matched seed with the text around it, once for each text and surrounding."""
@@ -326,40 +331,51 @@ class SharedSpans:
         cut = rows.mapInArrow(_surroundings(self.span - self.k, self.k), "tid long, h long, pos int, left string, seed string, right string")
         return cut.groupBy("tid", "h", "left", "seed", "right").agg(F.min("pos").alias("pos"), F.array_distinct(F.collect_list("pos")).alias("places"))
 
-    def _matches(self) -> DataFrame:
-        heat = self.around.groupBy("h").agg((F.count("*") > HOT_TEXTS).alias("hot"))
-        rows = self.around.drop("places").join(heat, "h")
-        return self._cold(rows.where("not hot")).unionByName(self._hot(rows.where("hot")))
-
     def _cold(self, rows: DataFrame) -> DataFrame:
         """Pairs of the few texts of a seed, extended character by character."""
         a = rows.select("h", F.col("tid").alias("a"), F.col("pos").alias("pa"), F.col("left").alias("la"), F.col("seed").alias("sa"), F.col("right").alias("ra"))
         b = rows.select("h", F.col("tid").alias("b"), F.col("pos").alias("pb"), F.col("left").alias("lb"), F.col("seed").alias("sb"), F.col("right").alias("rb"))
         return a.join(b, "h").where("a < b").drop("h").mapInArrow(_extend, _MATCH)
 
-    def _hot(self, rows: DataFrame) -> DataFrame:
-        """Pairs of the many texts of a seed that share one of the span-long windows around it.
+    def _windows(self) -> DataFrame:
+        """``(h, o, win, tid, pos, after, before)``: the span-long windows around each hot seed, by hash.
 
         A common run that holds the seed is one of these windows, cut at the same
-        distance before the seed in both texts.  The windows that two texts share
-        are neighbours; only the last and the first of them make a row.
+        distance ``o`` before the seed in both texts.
         """
         reach, whole = self.span - self.k, F.concat("left", "seed", "right")
         lead = F.char_length("left")
         cut = F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda o: F.when((o <= lead) & (lead - o + self.span <= F.char_length(whole)), F.xxhash64(F.substring(whole, lead - o + 1, F.lit(self.span)))))
         # The outer form, as the inner one has the optimizer cut windows of all seeds to test whether there are any.
-        one = rows.select("h", "tid", "pos", cut.alias("cut")).select("h", "tid", "pos", "cut", F.posexplode_outer("cut").alias("o", "win")).where("win IS NOT NULL")
-        one = one.select("h", "o", "win", "tid", "pos", F.get("cut", F.col("o") + 1).alias("after"), F.get("cut", F.col("o") - 1).alias("before"))
-        a = one.select("h", "o", "win", *(F.col(c).alias(n) for c, n in (("tid", "a"), ("pos", "pa"), ("after", "after_a"), ("before", "before_a"))))
-        b = one.select("h", "o", "win", *(F.col(c).alias(n) for c, n in (("tid", "b"), ("pos", "pb"), ("after", "after_b"), ("before", "before_b"))))
+        one = self.hot.select("h", "tid", "pos", cut.alias("cut")).select("h", "tid", "pos", "cut", F.posexplode_outer("cut").alias("o", "win")).where("win IS NOT NULL")
+        return one.select("h", "o", "win", "tid", "pos", F.get("cut", F.col("o") + 1).alias("after"), F.get("cut", F.col("o") - 1).alias("before"))
+
+    def _hot_pairs(self) -> DataFrame:
+        """Pairs of the many texts of a seed that share one of the windows around it.
+
+        The windows that two texts share are neighbours; only the last and the
+        first of them make a row.
+        """
+        one = self._windows()
+        a, b = (one.select("h", "o", "win", F.col("tid").alias(s), F.col("pos").alias(f"p{s}"), F.col("after").alias(f"after_{s}"), F.col("before").alias(f"before_{s}")) for s in "ab")
         last = ~F.coalesce(F.col("after_a") == F.col("after_b"), F.lit(False))
         begin = ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
         pairs = a.join(b, ["h", "o", "win"]).where((F.col("a") < F.col("b")) & (last | begin))
-        return pairs.groupBy("a", "b", "pa", "pb").agg(F.max("o").cast("int").alias("l"), (F.lit(reach) - F.min("o")).cast("int").alias("r"))
+        return pairs.groupBy("a", "b", "pa", "pb").agg(F.max("o").cast("int").alias("l"), (F.lit(self.span - self.k) - F.min("o")).cast("int").alias("r"))
+
+    def _extents(self) -> DataFrame:
+        """``(tid, pos, l, r)``: how far to either side of a seed a text is shared with any other."""
+        long = self.cold.where(F.col("l") + F.col("r") + self.k >= self.span)
+        sides = [long.select(F.col(t).alias("tid"), F.col(p).alias("pos"), "l", "r") for t, p in (("a", "pa"), ("b", "pb"))]
+        one = self._windows().select("h", "o", "win", "tid", "pos")
+        several = one.groupBy("h", "o", "win").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("h", "o", "win")
+        hot = one.join(several, ["h", "o", "win"]).select("tid", "pos", F.col("o").alias("l"), (F.lit(self.span - self.k) - F.col("o")).alias("r"))
+        # All of a seed's shared windows hold the seed, so together they are one stretch.
+        return sides[0].unionByName(sides[1]).unionByName(hot).groupBy("tid", "pos").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
     def passages(self) -> DataFrame:
         """One row for each chain of a pair of texts: its extent in both, its exact characters and longest exact run."""
-        near = self.matches.distinct().repartition("a", "b").sortWithinPartitions("a", "b", "pa", "pb")
+        near = self.cold.unionByName(self._hot_pairs()).distinct().repartition("a", "b").sortWithinPartitions("a", "b", "pa", "pb")
         return near.mapInArrow(_passages(self.k), _PASSAGE)
 
     def document_pairs(self) -> DataFrame:
@@ -373,23 +389,33 @@ class SharedSpans:
         within = equal.select("tid", F.col("doc_id").alias("x")).join(equal.select("tid", F.col("doc_id").alias("y")), "tid").where("x < y").select("x", "y")
         return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
-    def text_passages(self) -> DataFrame:
+    def text_pairs(self) -> DataFrame:
         """Passages with an exact run of at least ``span``, with one document and the number of documents of each text."""
         first = self.members.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
         a = first.select(F.col("tid").alias("a"), F.col("doc").alias("doc_id_a"), F.col("copies").alias("copies_a"))
         b = first.select(F.col("tid").alias("b"), F.col("doc").alias("doc_id_b"), F.col("copies").alias("copies_b"))
         return self.passages().where(F.col("longest") >= self.span).join(a, "a").join(b, "b").drop("a", "b")
 
-    def shared_extent(self) -> DataFrame:
-        """``(doc_id, n_chars, n_shared)`` of each member: the characters that stand in a run shared with another document."""
-        long = self.matches.where(F.col("l") + F.col("r") + self.k >= self.span)
-        sides = [long.select(F.col(t).alias("tid"), F.col(p).alias("pos"), "l", "r") for t, p in (("a", "pa"), ("b", "pb"))]
-        reach = sides[0].unionByName(sides[1]).groupBy("tid", "pos", "l").agg(F.max("r").alias("r"))
+    def shared_stretches(self) -> DataFrame:
+        """``(doc_id, begin, end)``: the parts of each document's text that stand in runs shared with other documents.
+
+        Runs that touch or overlap are one stretch; a text that another document
+        has as a whole is one stretch.
+        """
         spots = self.around.select("tid", "pos", "places").distinct()
-        spans = reach.join(spots, ["tid", "pos"]).select("tid", F.explode("places").alias("p"), "l", "r").select("tid", (F.col("p") - F.col("l")).alias("lo"), (F.col("p") + self.k + F.col("r")).alias("hi"))
-        before = F.max("hi").over(Window.partitionBy("tid").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
-        fresh = spans.distinct().select("tid", F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(before, F.lit(0)))).alias("fresh"))
-        by_text = fresh.groupBy("tid").agg(F.sum("fresh").alias("n_shared"))
-        copied = self.members.groupBy("tid").agg(F.count("*").alias("copies"))
-        rows = self.members.join(copied, "tid").join(by_text, "tid", "left")
-        return rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("n_shared", F.lit(0))).cast("long").alias("n_shared"))
+        spans = self._extents().join(spots, ["tid", "pos"]).select("tid", F.explode("places").alias("p"), "l", "r")
+        spans = spans.select("tid", (F.col("p") - F.col("l")).alias("lo"), (F.col("p") + self.k + F.col("r")).alias("hi")).distinct()
+        by_text = Window.partitionBy("tid").orderBy("lo", "hi")
+        reached = F.max("hi").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+        apart = spans.withColumn("fresh", F.coalesce((F.col("lo") > reached).cast("int"), F.lit(1)))
+        placed = apart.withColumn("stretch", F.sum("fresh").over(by_text))
+        merged = placed.groupBy("tid", "stretch").agg(F.min("lo").alias("begin"), F.max("hi").alias("end")).drop("stretch")
+        copied = self.members.groupBy("tid").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+        whole = copied.where("copies > 1").select("tid", F.lit(0).alias("begin"), F.col("n").alias("end"))
+        single = merged.join(copied.where("copies = 1").select("tid"), "tid", "left_semi")
+        return self.members.select("doc_id", "tid").join(whole.unionByName(single), "tid").select("doc_id", "begin", "end")
+
+    def shared_extent(self) -> DataFrame:
+        """``(doc_id, n_chars, n_shared)`` of each member: how many of its characters stand in shared runs."""
+        sums = self.shared_stretches().groupBy("doc_id").agg(F.sum(F.col("end") - F.col("begin")).alias("n_shared"))
+        return self.members.join(sums, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_chars"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))

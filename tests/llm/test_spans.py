@@ -64,7 +64,7 @@ def built():
 
 def test_all_pairs(spark):
     found = check(spark, built())
-    long = found.text_passages()
+    long = found.text_pairs()
     assert long.where("longest < 200 OR exact_chars < longest OR a_end - a_start < longest").count() == 0
 
 
@@ -84,7 +84,7 @@ def test_long_text_in_blocks(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     found = spans.SharedSpans(df, "doc_id", "text")
-    assert rows(found.document_pairs()) == [] and rows(found.shared_extent()) == [] and rows(found.text_passages()) == []
+    assert rows(found.document_pairs()) == [] and rows(found.shared_extent()) == [] and rows(found.text_pairs()) == []
 
 
 def test_chain_is_collinear():
