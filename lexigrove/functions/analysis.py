@@ -84,7 +84,7 @@ def lemmatize(rows: DataFrame, lemmas: DataFrame | None) -> DataFrame:
 
 
 # Frequent words that tell two languages apart.
-_FREQUENT = {
+FREQUENT = {
     "english": ["the", "and", "of", "to", "in", "is", "that", "for", "it", "with", "was", "on", "are", "by", "this"],
     "spanish": ["el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "por", "con", "del", "se", "es"],
 }
@@ -95,7 +95,7 @@ def language_name(text: Column) -> Column:
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
 
     def hits(name: str) -> Column:
-        known = F.array(*map(F.lit, _FREQUENT[name]))
+        known = F.array(*map(F.lit, FREQUENT[name]))
         return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
 
     return F.when(hits("spanish") > hits("english"), "spanish").otherwise("english")

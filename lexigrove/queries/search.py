@@ -354,6 +354,14 @@ def _rank_sql(terms: list[str], mode: str, tail: str) -> str:
 _WORDS = ", ".join(f"({i}, '{w}')" for i, w in enumerate(MISSPELT.split()))
 _NEAREST = f"WITH {_STATS}, words(i, word) AS (VALUES {_WORDS}), far AS (SELECT i, word, term, levenshtein(word, term) AS distance FROM words, dfs), ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, term) AS rank FROM far)"
 _TITLED = f"WITH {_POST} SELECT doc_id, coalesce(title, 'Title not found') AS title FROM documents WHERE doc_id IN ({_has('quiet')} INTERSECT {_has('harbor')})"
+_LETTERS = r"regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+')"
+
+
+def _hits(name: str) -> str:
+    known = ", ".join(f"'{w}'" for w in analysis.FREQUENT[name])
+    return f"len(list_filter({_LETTERS}, lambda w: list_contains([{known}], w)))"
+
+
 _TOKENS = r"regexp_split_to_array(lower(coalesce(text, '')), '[ \n\r]')"
 
 SQL: dict[str, str] = {
@@ -402,6 +410,7 @@ SQL: dict[str, str] = {
     "result_lines": f"SELECT doc_id, 'Document ID# ' || doc_id || ' - ' || title AS line FROM ({_TITLED})",
     "doc_display": "SELECT doc_id, title || ' (ID ' || doc_id || ')' AS display FROM documents WHERE title IS NOT NULL",
     "json_source": "SELECT file_id, coalesce(json_extract_string(raw_json, '$.title'), '') AS title, coalesce(json_extract_string(raw_json, '$.body'), '') AS content FROM json_files WHERE json_valid(raw_json)",
+    "detect_language": f"SELECT doc_id, CASE WHEN {_hits('spanish')} > {_hits('english')} THEN 'spanish' ELSE 'english' END AS language FROM documents",
     "xml_source": "SELECT CAST(n_nationkey AS VARCHAR) AS path, n_name AS title, n_name || chr(10) || 'nation ' || chr(10) || n_nationkey AS content FROM nation",
     "spanish_terms": r"SELECT term, count(*) AS cf FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w))) AS term FROM documents WHERE lang = 'es') WHERE regexp_full_match(term, '\p{L}+') GROUP BY term",
 }
