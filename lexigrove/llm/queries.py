@@ -122,6 +122,16 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").shared_stretches()
 
 
+def p8_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that different texts share, exact or with small changes inside, with their places in both texts."""
+    return p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").text_pairs()
+
+
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stands for each document's text in p8_aligned."""
+    return p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").classes()
+
+
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document's text is shared with another; nothing for null and short texts."""
     documents = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
@@ -145,6 +155,8 @@ LLM_QUERIES = {
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
+    "p8_aligned": p8_aligned,
+    "p8_texts": p8_texts,
     "p8_shared": p8_shared,
 }
 

@@ -292,6 +292,45 @@ def _passages(k: int):
     return run
 
 
+def _occurrences(apart: int):
+    """Every place of both seeds of a match, where a text has the same surroundings several times.
+
+    Places up to ``apart`` from the one before belong to one periodic stretch, and
+    two such stretches are laid beside each other from their beginnings;
+    all stretches of one text go with all of the other.
+    """
+
+    def stretches(places: list[int] | None, only: int) -> list[list[int]]:
+        out: list[list[int]] = []
+        for p in sorted(places or [only]):
+            if out and p - out[-1][-1] <= apart:
+                out[-1].append(p)
+            else:
+                out.append([p])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, at, bt, left, right, more_a, more_b in zip(*(flat(batch, n).to_pylist() for n in ("a", "b", "pa", "pb", "l", "r", "more_a", "more_b"))):
+                if more_a is None and more_b is None:
+                    rows.append((a, b, at, bt, left, right))
+                else:
+                    rows += [(a, b, x, y, left, right) for xs in stretches(more_a, at) for ys in stretches(more_b, bt) for x, y in zip(xs, ys)]
+                if len(rows) >= 8192:
+                    yield _matches(rows)
+                    rows = []
+            if rows:
+                yield _matches(rows)
+
+    return run
+
+
+def _matches(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "b", "pa", "pb", "l", "r"])
+
+
 class SharedSpans:
     """Passages that texts share, found once and read by each result.
 
@@ -373,11 +412,23 @@ class SharedSpans:
         # All of a seed's shared windows hold the seed, so together they are one stretch.
         return sides[0].unionByName(sides[1]).unionByName(hot).groupBy("tid", "pos").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
-    def passages(self) -> DataFrame:
-        """One row for each chain of a pair of texts: its extent in both, its exact characters and longest exact run."""
-        near = self.cold.unionByName(self._hot_pairs()).distinct().repartition("a", "b").sortWithinPartitions("a", "b", "pa", "pb")
+    def _chained(self, matches: DataFrame) -> DataFrame:
+        near = matches.distinct().repartition("a", "b").sortWithinPartitions("a", "b", "pa", "pb")
         return near.mapInArrow(_passages(self.k), _PASSAGE)
 
+    def passages(self) -> DataFrame:
+        """One row for each chain of a pair of texts: its extent in both, its exact characters and longest exact run.
+
+        Of seeds with the same surroundings in one text only the first is taken.
+        """
+        return self._chained(self.cold.unionByName(self._hot_pairs()))
+
+    def _everywhere(self, matches: DataFrame) -> DataFrame:
+        """Matches at all places of their seeds."""
+        several = self.around.where(F.size("places") > 1)
+        more_a, more_b = (several.select(F.col("tid").alias(t), F.col("pos").alias(f"p{t}"), F.col("places").alias(f"more_{t}")) for t in "ab")
+        return matches.join(more_a, ["a", "pa"], "left").join(more_b, ["b", "pb"], "left").mapInArrow(_occurrences(self.span), _MATCH)
+
     def document_pairs(self) -> DataFrame:
         """``(doc_id_a, doc_id_b)``: documents that share a run of at least ``span`` characters."""
         pairs = self.passages().where(F.col("longest") >= self.span).select("a", "b").distinct()
@@ -390,11 +441,21 @@ class SharedSpans:
         return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
     def text_pairs(self) -> DataFrame:
-        """Passages with an exact run of at least ``span``, with one document and the number of documents of each text."""
+        """Passages with an exact run of at least ``span``, with one document and the number of documents of each text.
+
+        Passages that a text has several times are reported at each of their places.
+        The other documents of a text are told by :meth:`classes`.
+        """
         first = self.members.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
         a = first.select(F.col("tid").alias("a"), F.col("doc").alias("doc_id_a"), F.col("copies").alias("copies_a"))
         b = first.select(F.col("tid").alias("b"), F.col("doc").alias("doc_id_b"), F.col("copies").alias("copies_b"))
-        return self.passages().where(F.col("longest") >= self.span).join(a, "a").join(b, "b").drop("a", "b")
+        found = self._chained(self._everywhere(self.cold.unionByName(self._hot_pairs())))
+        return found.where(F.col("longest") >= self.span).join(a, "a").join(b, "b").drop("a", "b")
+
+    def classes(self) -> DataFrame:
+        """``(doc_id, text_doc_id)``: the document that stands for each member's text in :meth:`text_pairs`."""
+        first = self.members.groupBy("tid").agg(F.min("doc_id").alias("text_doc_id"))
+        return self.members.join(first, "tid").select("doc_id", "text_doc_id")
 
     def shared_stretches(self) -> DataFrame:
         """``(doc_id, begin, end)``: the parts of each document's text that stand in runs shared with other documents.

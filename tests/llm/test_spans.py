@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from lexigrove.llm import spans
+from lexigrove.llm.queries import LLM_QUERIES
 from tests.conftest import rows
 
 SCHEMA = "doc_id long, text string, tid long, h long, pos int"
@@ -72,6 +73,36 @@ def test_hot_seeds_by_windows(spark, monkeypatch):
     check(spark, built(), monkeypatch, 3)
 
 
+def test_aligned_passages_and_their_texts(spark):
+    random.seed(12)
+    first, second, twice = noise(300), noise(320), noise(400)
+    data = [
+        (1, noise(150) + first + "changed" + second + noise(90)),
+        (2, noise(40) + first + "other word" + second + noise(10)),
+        (4, noise(70) + twice + noise(1500) + twice + noise(30)),
+        (5, noise(20) + twice + noise(60)),
+        (6, "y" + "ab" * 400),
+        (7, "ab" * 300 + "z"),
+    ]
+    data.append((3, data[0][1]))
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in data], SCHEMA).repartition(3)
+    assert {"p8_aligned", "p8_texts"} <= set(LLM_QUERIES)
+    found = spans.SharedSpans(df, "doc_id", "text")
+    texts = dict(data)
+    passages = {}
+    for r in found.text_pairs().collect():
+        sides = sorted([(r["doc_id_a"], r["a_start"], r["a_end"], r["copies_a"]), (r["doc_id_b"], r["b_start"], r["b_end"], r["copies_b"])])
+        passages.setdefault((sides[0][0], sides[1][0]), []).append((*sides[0][1:], *sides[1][1:], r["longest"], r["exact_chars"]))
+    assert set(passages) == {(1, 2), (4, 5), (6, 7)}
+    (one,) = passages[1, 2]
+    assert one[2] == 2 and one[5] == 1 and 320 <= one[6] < 325 and one[7] >= 620
+    assert texts[1][one[0] : one[1]].endswith(second) and first + "changed" in texts[1][one[0] : one[1]]
+    assert first + "other word" + second in texts[2][one[3] : one[4]]
+    assert len(passages[4, 5]) == 2 and all(twice in texts[4][p[0] : p[1]] and twice in texts[5][p[3] : p[4]] for p in passages[4, 5])
+    assert max(p[6] for p in passages[6, 7]) == 600
+    assert rows(found.classes(), "doc_id", "text_doc_id") == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7)]
+
+
 def test_long_text_in_blocks(spark, monkeypatch):
     random.seed(1)
     monkeypatch.setattr(spans, "_BLOCK", 1 << 18)
