@@ -311,6 +311,15 @@ class Identifier:
 
     def segments(self, texts: list[str]) -> list[list[tuple[str | None, str, int, int, int, float, float]]]:
         """For each text: ``(language or None, nearest language, begin, end, words, confidence, cross-entropy)``."""
+        return [found for _, _, found in self.documents(texts)]
+
+    def documents(self, texts: list[str]) -> list[tuple[str | None, float | None, list[tuple[str | None, str, int, int, int, float, float]]]]:
+        """For each text its language, its confidence and its segments.
+
+        The language is that of most words over all segments that aren't rejected,
+        the earliest of equals; the confidence is its share by the scores summed over
+        the whole text for each character.
+        """
         numbers, costs, scores, sizes, places = self.words(texts)
         out = []
         for row, path, place, text in zip(numbers, self.paths(numbers, costs, scores), places, texts):
@@ -331,7 +340,17 @@ class Identifier:
                 sure = entropy[own] <= self.bounds[own]
                 from_, to = place[begin][0] if i else 0, len(text) if i + 1 == len(parts) else place[end - 1][1]
                 found.append((self.langs[own] if sure else None, self.langs[own], from_, to, end - begin, float(1 / share.sum()), float(entropy[own])))
-            out.append(found)
+            counts: Counter = Counter()
+            for lang, *_, n_words, _, _ in found:
+                if lang is not None:
+                    counts[lang] += n_words
+            if not counts:
+                out.append((None, None, found))
+                continue
+            main = max(counts, key=counts.__getitem__)
+            entropy = -sum(p[3] for p in parts) / sum(p[4] for p in parts)
+            share = np.exp(self.temper * (entropy[self.langs.index(main)] - entropy))
+            out.append((main, float(1 / share.sum()), found))
         return out
 
 
@@ -357,12 +376,12 @@ def train(samples: DataFrame, documents: DataFrame | None = None) -> bytes:
 
 
 _KEPT: dict[int, Identifier] = {}
-_SEGMENTS = "`{id}` {kind}, label string, n_words int, segments array<struct<seg_no: int, lang: string, nearest: string, from_char: int, to_char: int, n_words: int, confidence: double, cross_entropy: double>>"
+_SEGMENTS = "`{id}` {kind}, label string, n_words int, doc_lang string, doc_confidence double, segments array<struct<seg_no: int, lang: string, nearest: string, from_char: int, to_char: int, n_words: int, confidence: double, cross_entropy: double>>"
 _TEXTS = 512
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, samples: DataFrame) -> DataFrame:
-    """Each distinct row's words and segments: ``(id_col, label, n_words, segments)``.
+    """Each distinct row's words, language and segments: ``(id_col, label, n_words, doc_lang, doc_confidence, segments)``.
 
     ``lang`` of a segment is null where it is rejected; ``nearest`` is the
     language of lowest cross-entropy even then.  Characters count from 0, a
@@ -385,11 +404,12 @@ def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, samples:
             texts = flat(batch, "text")
             for lo in range(0, batch.num_rows, _TEXTS):
                 own = [t or "" for t in texts.slice(lo, _TEXTS).to_pylist()]
-                found = identifier.segments(own) if identifier.langs else [[] for _ in own]
+                found = identifier.documents(own) if identifier.langs else [(None, None, []) for _ in own]
                 words = [len(_WORD.findall(t)) for t in own]
-                rows = [[dict(zip(("seg_no", "lang", "nearest", "from_char", "to_char", "n_words", "confidence", "cross_entropy"), (i + 1, *s))) for i, s in enumerate(f)] for f in found]
+                rows = [[dict(zip(("seg_no", "lang", "nearest", "from_char", "to_char", "n_words", "confidence", "cross_entropy"), (i + 1, *s))) for i, s in enumerate(f)] for *_, f in found]
+                mains = [pa.array([d[i] for d in found], kind) for i, kind in ((0, pa.string()), (1, pa.float64()))]
                 kinds = pa.list_(pa.struct([("seg_no", pa.int32()), ("lang", pa.string()), ("nearest", pa.string()), ("from_char", pa.int32()), ("to_char", pa.int32()), ("n_words", pa.int32()), ("confidence", pa.float64()), ("cross_entropy", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(own)), batch.column(1).slice(lo, len(own)), pa.array(words, pa.int32()), pa.array(rows, kinds)], names=[id_col, "label", "n_words", "segments"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(own)), batch.column(1).slice(lo, len(own)), pa.array(words, pa.int32()), *mains, pa.array(rows, kinds)], names=[id_col, "label", "n_words", "doc_lang", "doc_confidence", "segments"])
 
     # Repeated rows are dropped after the scan, so that texts don't go through a shuffle.
     return df.select(F.col(id_col), F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(run, schema).distinct()
@@ -407,11 +427,9 @@ def wrong_labels(found: DataFrame, id_col: str) -> DataFrame:
 def document_languages(found: DataFrame, id_col: str) -> DataFrame:
     """One row for each segment with its confidence; documents without words have one row without a segment.
 
-    ``doc_lang`` is the language of most words of the document, ``label_lang``
-    the one that the label names.
+    ``doc_lang`` is the language of most words of the document, summed over its
+    segments, ``doc_confidence`` its confidence, and ``label_lang`` the one that
+    the label names.
     """
-    words = F.aggregate(F.filter("segments", lambda s: s["lang"].isNotNull()), F.lit(0), lambda a, s: F.greatest(a, s["n_words"]))
-    main = F.get(F.filter("segments", lambda s: s["lang"].isNotNull() & (s["n_words"] == F.col("most"))), F.lit(0))["lang"]
-    rows = found.withColumn("most", words).withColumn("doc_lang", main)
-    rows = rows.select(id_col, label_language(F.col("label")).alias("label_lang"), "doc_lang", F.col("n_words").alias("doc_words"), F.explode_outer("segments").alias("s"))
-    return rows.select(id_col, "label_lang", "doc_lang", "doc_words", "s.seg_no", "s.lang", "s.from_char", "s.to_char", "s.n_words", F.round("s.confidence", 6).alias("confidence"))
+    rows = found.select(id_col, label_language(F.col("label")).alias("label_lang"), "doc_lang", F.round("doc_confidence", 6).alias("doc_confidence"), F.col("n_words").alias("doc_words"), F.explode_outer("segments").alias("s"))
+    return rows.select(id_col, "label_lang", "doc_lang", "doc_confidence", "doc_words", "s.seg_no", "s.lang", "s.from_char", "s.to_char", "s.n_words", F.round("s.confidence", 6).alias("confidence"))

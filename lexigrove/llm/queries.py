@@ -62,7 +62,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of each document's segments."""
+    """Language and confidence of each document and of its segments."""
     return p4.document_languages(_languages(spark, sf_dir), "doc_id")
 
 

@@ -105,3 +105,19 @@ def test_tables(spark, samples):
     assert table[1, 1]["label_lang"] == "en" and table[1, 1]["confidence"] > 0.9
     assert (5, None) in table and table[5, None]["doc_lang"] is None
     assert lg.identify(df.limit(0), "doc_id", "body", "lang_label", spark.createDataFrame([], "sample_id long, lang string, sample_text string")).count() == 0
+
+
+def test_document_language_by_all_its_words(spark, samples):
+    english, spanish = (" ".join(t for x, t in samples if x == lang).split() for lang in ("en", "es"))
+    data = [
+        (1, "\n".join(" ".join(w) for w in (english[:30], spanish[:50], english[30:60])), "en"),
+        (2, " ".join(english[:60]), "en"),
+        (3, "zxqj wvkq jjxz qqzx kkwv zzxq jxkw vvqz qzkx wwjx", "en"),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, body string, lang_label string")
+    table = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(samples)], "sample_id long, lang string, sample_text string")
+    found = lg.document_languages(lg.identify(df, "doc_id", "body", "lang_label", table), "doc_id").collect()
+    assert [r["lang"] for r in sorted(found, key=lambda r: (r["doc_id"], r["seg_no"]))] == ["en", "es", "en", "en", None]
+    main = {r["doc_id"]: (r["doc_lang"], r["doc_confidence"]) for r in found}
+    assert main[1][0] == "en" and 0 < main[1][1] < main[2][1] <= 1
+    assert main[2][0] == "en" and main[2][1] > 0.9 and main[3] == (None, None)
