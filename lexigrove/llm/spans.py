@@ -3,8 +3,9 @@
 Seeds are the least-hashed k-mers of each window, so that any run of ``span``
 characters that two texts share holds a seed of both.  Seeds that stand in more
 than one text are looked up again with the text around them, paired, extended to
-exact runs, and chained per pair of texts: a Fenwick tree over the positions in
-the second text gives each seed its best predecessor under a linear gap cost.
+exact runs, and chained per pair of texts: trees over the positions in the
+second text, which hold the seeds within the longest gap only, give each seed its
+best predecessor under a linear gap cost.
 Chains are then aligned into passages with their exact and their whole extent.
 
 Equal texts are one text throughout (by hash and length); their documents come
@@ -13,6 +14,8 @@ back at the end.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -188,52 +191,124 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(c[n].take(kept) for n in ("a", "b", "pa", "pb")), pa.array(left[keep]), pa.array(right[keep])], names=["a", "b", "pa", "pb", "l", "r"])
 
 
-class _Fenwick:
-    """Greatest value over a prefix, with who holds it."""
+_NONE = (-(1 << 60), -1)
+
+
+class _Reach:
+    """Greatest value over a range of ranks of the seeds put in and not dropped yet, with who holds it.
+
+    Seeds are dropped in the order in which they were put.
+    """
 
     def __init__(self, n: int) -> None:
-        self.best = [(-1e18, -1)] * (n + 1)
-
-    def put(self, i: int, value: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i] = value
-            i += i & -i
-
-    def below(self, i: int) -> tuple[float, int]:
-        out = (-1e18, -1)
-        while i > 0:
-            if self.best[i] > out:
-                out = self.best[i]
-            i -= i & -i
+        self.n = n
+        self.best = [_NONE] * (2 * n)
+        self.held: list[deque] = [deque() for _ in range(n)]
+
+    def put(self, i: int, value: int, who: int) -> None:
+        held = self.held[i]
+        while held and held[-1][0] <= value:
+            held.pop()
+        held.append((value, who))
+        if len(held) == 1:
+            self._raise(i, held[0])
+
+    def drop(self, i: int, who: int) -> None:
+        held = self.held[i]
+        if held and held[0][1] == who:
+            held.popleft()
+            self._raise(i, held[0] if held else _NONE)
+
+    def _raise(self, i: int, value: tuple[int, int]) -> None:
+        best = self.best
+        i += self.n
+        best[i] = value
+        while i > 1:
+            i >>= 1
+            value = max(best[2 * i], best[2 * i + 1])
+            if best[i] == value:
+                break
+            best[i] = value
+
+    def over(self, lo: int, hi: int) -> tuple[int, int]:
+        best, out = self.best, _NONE
+        lo, hi = lo + self.n, hi + self.n
+        while lo < hi:
+            if lo & 1:
+                out = max(out, best[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                out = max(out, best[hi])
+            lo, hi = lo >> 1, hi >> 1
         return out
 
 
-def chain(seeds: list[tuple[int, int, int, int]], k: int) -> list[list[int]]:
-    """Collinear chains of seeds ``(pa, pb, left, right)`` sorted by ``(pa, pb)``, best first.
+def _best_steps(seeds: list[tuple[int, int, int, int]], k: int) -> tuple[list[float], list[int]]:
+    """Best score of a chain that ends with each seed, and the seed before it or -1.
 
-    A seed is worth its k characters; going on from an earlier one costs
-    ``GAP_COST`` for each character between them in either text.  A step that
-    costs more than it brings, or is longer than ``MOST_GAP``, begins a new chain.
+    Earlier seeds that don't overlap bring k characters, others the smaller of
+    their distances; which of the two holds is told by tree.  Only those that
+    overlap in both texts are looked at one by one.  Of equal steps the one from the
+    last seed is taken, so none is skipped; sums are whole units of ``GAP_COST``, so
+    equal ones compare as equal.
     """
-    rank = {p: i for i, p in enumerate(sorted({s[1] for s in seeds}))}
-    tree, score, before = _Fenwick(len(rank)), [], []
-    i = 0
+    unit = round(1 / GAP_COST)
+    bs = sorted({s[1] for s in seeds})
+    rank, reach = {p: i for i, p in enumerate(bs)}, MOST_GAP + k
+    apart, beside, above, level = (_Reach(len(bs)) for _ in range(4))
+    close: list[deque] = [deque() for _ in bs]
+    score, before, worth = [], [], []
+    i = fresh = old = 0
     while i < len(seeds):
+        a = seeds[i][0]
+        while fresh < i and a - seeds[fresh][0] >= k:
+            at = rank[seeds[fresh][1]]
+            above.drop(at, fresh)
+            level.drop(at, fresh)
+            close[at].popleft()
+            apart.put(at, worth[fresh], fresh)
+            beside.put(at, worth[fresh] - unit * seeds[fresh][1], fresh)
+            fresh += 1
+        while old < fresh and a - seeds[old][0] > reach:
+            at = rank[seeds[old][1]]
+            apart.drop(at, old)
+            beside.drop(at, old)
+            old += 1
         j = i
-        while j < len(seeds) and seeds[j][0] == seeds[i][0]:
-            a, b = seeds[j][:2]
-            reach, who = tree.below(rank[b])
-            gain = reach - GAP_COST * (a + b)
-            near = who >= 0 and a - seeds[who][0] <= MOST_GAP + k and b - seeds[who][1] <= MOST_GAP + k
-            new = min(k, a - seeds[who][0], b - seeds[who][1]) if near else k
-            score.append(max(k, gain + new))
-            before.append(who if near and gain + new > k else -1)
+        while j < len(seeds) and seeds[j][0] == a:
+            b = seeds[j][1]
+            lo, mid, hi = bisect_left(bs, b - reach), bisect_right(bs, b - k), rank[b]
+            (v1, w1), (v2, w2), (v3, w3) = apart.over(lo, mid), beside.over(mid, hi), above.over(lo, mid)
+            value, who = max((v1 + unit * k, w1), (v2 + unit * b, w2), (v3 + unit * a, w3))
+            for r in range(hi - 1, mid - 1, -1):
+                if above.best[above.n + r][0] + unit * a < value or level.best[level.n + r][0] + unit * (b - bs[r]) < value:
+                    continue
+                for x in close[r]:
+                    value, who = max((value, who), (worth[x] + unit * min(a - seeds[x][0], b - bs[r]), x))
+            value -= a + b
+            score.append(max(unit * k, value))
+            before.append(who if value > unit * k else -1)
             j += 1
         for x in range(i, j):
-            tree.put(rank[seeds[x][1]], (score[x] + GAP_COST * (seeds[x][0] + seeds[x][1]), x))
+            at = rank[seeds[x][1]]
+            worth.append(score[x] + a + seeds[x][1])
+            above.put(at, worth[x] - unit * a, x)
+            level.put(at, worth[x], x)
+            close[at].append(x)
         i = j
+    return [s / unit for s in score], before
+
+
+def chain(seeds: list[tuple[int, int, int, int]], k: int) -> list[list[int]]:
+    """Collinear chains of seeds ``(pa, pb, left, right)`` sorted by ``(pa, pb)``, best first.
+
+    A seed is worth its k characters; going on from an earlier one costs
+    ``GAP_COST`` for each character between them in either text.  Each seed takes
+    the best of those within ``MOST_GAP`` characters; where no step brings more than
+    it costs, it begins a new chain.
+    """
+    score, before = _best_steps(seeds, k)
     chains, used = [], [False] * len(seeds)
     for end in sorted(range(len(seeds)), key=lambda x: (-score[x], x)):
         path, x = [], end

@@ -137,6 +137,39 @@ def test_chain_equals_quadratic_search():
         assert all(seeds[x][0] < seeds[y][0] and seeds[x][1] < seeds[y][1] for x, y in zip(first, first[1:]))
 
 
+def test_chain_scores_equal_quadratic_search():
+    random.seed(16)
+    bests = []
+    for n, most, step in [(15, 600, 20), (60, 900, 7), (80, 4000, 11), (200, 400, 3)] * 15:
+        seeds = sorted({(random.randrange(0, most, step), random.randrange(0, most, step), 0, 0) for _ in range(n)})
+        best = []
+        for i, (a, b, *_) in enumerate(seeds):
+            steps = [best[j] + min(100, a - seeds[j][0], b - seeds[j][1]) - spans.GAP_COST * (a + b - seeds[j][0] - seeds[j][1]) for j in range(i) if seeds[j][0] < a and seeds[j][1] < b and a - seeds[j][0] <= 500 and b - seeds[j][1] <= 500]
+            best.append(max([100, *steps]))
+        first = spans.chain(seeds, 100)[0]
+        steps = [(seeds[y][0] - seeds[x][0], seeds[y][1] - seeds[x][1]) for x, y in zip(first, first[1:])]
+        assert abs(100 + sum(min(100, a, b) - spans.GAP_COST * (a + b) for a, b in steps) - max(best)) < 1e-6
+        bests.append((seeds, best))
+    for seeds, best in bests:
+        score, before = spans._best_steps(seeds, 100)
+        assert np.allclose(score, best)
+        for i, j in enumerate(before):
+            own = 100 if j < 0 else score[j] + min(100, seeds[i][0] - seeds[j][0], seeds[i][1] - seeds[j][1]) - spans.GAP_COST * (seeds[i][0] + seeds[i][1] - seeds[j][0] - seeds[j][1])
+            assert abs(own - score[i]) < 1e-6
+
+
+def test_second_place_of_a_passage_is_one_chain():
+    seeds = [(p, p, 0, 0) for p in range(0, 3000, 70)] + [(4000 + p, p, 0, 0) for p in range(2030, 2900, 60)]
+    assert sorted(map(len, spans.chain(seeds, 100))) == [15, 43]
+
+
+def test_chain_skips_no_seed_of_a_diagonal():
+    random.seed(5)
+    for _ in range(50):
+        at = sorted(random.sample(range(2000), 60))
+        assert spans.chain([(p + 9, p, 0, 0) for p in at], 100) == [list(range(60))]
+
+
 def test_minimizers_cover_every_window():
     random.seed(3)
     for text in (noise(900), "a" * 900, "abc" * 300):
