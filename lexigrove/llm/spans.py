@@ -445,12 +445,23 @@ class SharedSpans:
         cut = rows.mapInArrow(_surroundings(self.span - self.k, self.k), "tid long, h long, pos int, left string, seed string, right string")
         return cut.groupBy("tid", "h", "left", "seed", "right").agg(F.min("pos").alias("pos"), F.array_distinct(F.collect_list("pos")).alias("places"))
 
+    @staticmethod
+    def _sides(rows: DataFrame) -> list[DataFrame]:
+        return [rows.select("h", F.col("tid").alias(t), F.col("pos").alias(f"p{t}"), F.col("left").alias(f"l{t}"), F.col("seed").alias(f"s{t}"), F.col("right").alias(f"r{t}")) for t in "ab"]
+
     def _cold(self, rows: DataFrame) -> DataFrame:
         """Pairs of the few texts of a seed, extended character by character."""
-        a = rows.select("h", F.col("tid").alias("a"), F.col("pos").alias("pa"), F.col("left").alias("la"), F.col("seed").alias("sa"), F.col("right").alias("ra"))
-        b = rows.select("h", F.col("tid").alias("b"), F.col("pos").alias("pb"), F.col("left").alias("lb"), F.col("seed").alias("sb"), F.col("right").alias("rb"))
+        a, b = self._sides(rows)
         return a.join(b, "h").where("a < b").drop("h").mapInArrow(_extend, _MATCH)
 
+    def _of_pairs(self) -> DataFrame:
+        """All matches of the pairs of texts that share a run of ``span``, whether a seed is hot or not."""
+        long = self.cold.where(F.col("l") + F.col("r") + self.k >= self.span)
+        pairs = stage(long.select("a", "b").unionByName(self._hot_pairs().select("a", "b")).distinct(), "pairs")
+        a, b = self._sides(self.hot)
+        hot = pairs.join(a, "a").join(b, ["b", "h"]).drop("h").mapInArrow(_extend, _MATCH)
+        return self.cold.join(pairs, ["a", "b"], "left_semi").unionByName(hot)
+
     def _windows(self) -> DataFrame:
         """``(h, o, win, tid, pos, after, before)``: the span-long windows around each hot seed, by hash.
 
@@ -494,7 +505,9 @@ class SharedSpans:
     def passages(self) -> DataFrame:
         """One row for each chain of a pair of texts: its extent in both, its exact characters and longest exact run.
 
-        Of seeds with the same surroundings in one text only the first is taken.
+        Of seeds with the same surroundings in one text only the first is taken, and hot
+        seeds match by whole windows only: enough to tell which texts share a run of
+        ``span``, but the extents are those of :meth:`text_pairs`.
         """
         return self._chained(self.cold.unionByName(self._hot_pairs()))
 
@@ -519,12 +532,13 @@ class SharedSpans:
         """Passages with an exact run of at least ``span``, with one document and the number of documents of each text.
 
         Passages that a text has several times are reported at each of their places.
+        Their extents don't depend on how many other texts have the same seeds.
         The other documents of a text are told by :meth:`classes`.
         """
         first = self.members.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
         a = first.select(F.col("tid").alias("a"), F.col("doc").alias("doc_id_a"), F.col("copies").alias("copies_a"))
         b = first.select(F.col("tid").alias("b"), F.col("doc").alias("doc_id_b"), F.col("copies").alias("copies_b"))
-        found = self._chained(self._everywhere(self.cold.unionByName(self._hot_pairs())))
+        found = self._chained(self._everywhere(self._of_pairs()))
         return found.where(F.col("longest") >= self.span).join(a, "a").join(b, "b").drop("a", "b")
 
     def classes(self) -> DataFrame:

@@ -103,6 +103,20 @@ def test_aligned_passages_and_their_texts(spark):
     assert rows(found.classes(), "doc_id", "text_doc_id") == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7)]
 
 
+def test_extents_do_not_depend_on_hot_seeds(spark, monkeypatch):
+    random.seed(24)
+    edge, middle = noise(170), noise(320)
+    data = [(n, noise(60) + edge + f"changed {n}" + middle + noise(90), 1, 2, 3) for n in range(4)]
+    data.append((9, noise(80) + edge + noise(80), 1, 2, 3))
+    df = spark.createDataFrame(data, SCHEMA)
+    found = []
+    for hot in (24, 2):
+        monkeypatch.setattr(spans, "HOT_TEXTS", hot)
+        found.append(rows(spans.SharedSpans(df, "doc_id", "text").text_pairs()))
+    assert len(found[0]) == 6 and found[0] == found[1]
+    assert all(r[5] >= 490 for r in found[0])
+
+
 def test_long_text_in_blocks(spark, monkeypatch):
     random.seed(1)
     monkeypatch.setattr(spans, "_BLOCK", 1 << 18)
