@@ -1,4 +1,4 @@
-"""The search engine: index a corpus, load an index, search and suggest."""
+"""Index a corpus, load an index, search and suggest."""
 
 from __future__ import annotations
 
@@ -14,10 +14,12 @@ from lexigrove.plans.parser import analyzer, parse, ranked_terms
 from lexigrove.sources.files import Corpus
 
 PAGE = 15
+#: Rows of a result up to which titles are fetched by id.
+MOST_FETCHED = 1000
 MODES = ("boolean", *ranking.MODES)
 
 
-class SearchEngine:
+class Finder:
     """Searches over one index.
 
     ``strict`` keeps the habits of the original system where they differ from
@@ -29,14 +31,14 @@ class SearchEngine:
         self.words = analyzer(language, index.stemmed)
 
     @staticmethod
-    def create(corpus: Corpus, path: str, stemmed: bool = True, language: str = "english", strict: bool = False) -> SearchEngine:
+    def create(corpus: Corpus, path: str, stemmed: bool = True, language: str = "english", strict: bool = False) -> Finder:
         """Build the index of a corpus at ``path``, replacing one that is there."""
-        return SearchEngine(Index.create(corpus.documents, path, stemmed), language, strict)
+        return Finder(Index.create(corpus.documents, path, stemmed), language, strict)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, language: str = "english", strict: bool = False) -> SearchEngine:
+    def load(spark: SparkSession, path: str, language: str = "english", strict: bool = False) -> Finder:
         """Open an index that was built before."""
-        return SearchEngine(Index.load(spark, path), language, strict)
+        return Finder(Index.load(spark, path), language, strict)
 
     def parse(self, query: str) -> Node:
         """The query as a tree; ``str()`` of it shows how it was read."""
@@ -57,18 +59,27 @@ class SearchEngine:
             rows = found.orderBy("doc_id")
             rows = rows.offset(offset) if offset else rows
             rows = rows.limit(limit) if limit is not None else rows
-            return self.titled(rows).orderBy("doc_id")
+            return self.titled(rows, limit).orderBy("doc_id")
         terms = ranked_terms(query, self.words, self.strict)
-        ranked = ranking.rank(terms, index.postings, index.doc_stats, index.corpus_stats, mode, self.strict)
-        return self.titled(ranking.page(ranked, limit, offset)).orderBy(F.desc("score"), "first_term", "doc_id").drop("first_term")
+        ranked = ranking.rank(terms, index.postings, index.corpus_stats, mode, self.strict)
+        return self.titled(ranking.page(ranked, limit, offset), limit).orderBy(F.desc("score"), "first_term", "doc_id").drop("first_term")
 
     def page(self, query: str, number: int = 0, mode: str = "bm25") -> DataFrame:
         """One page of results, from 0."""
         return self.search(query, mode, PAGE, number * PAGE)
 
-    def titled(self, rows: DataFrame) -> DataFrame:
-        """Rows with the documents' titles; unknown ones say so."""
+    def titled(self, rows: DataFrame, limit: int | None = None) -> DataFrame:
+        """Rows with the documents' titles; unknown ones say so.
+
+        A page of up to ``MOST_FETCHED`` rows is made at once, and its ids become a
+        filter at the scan of the documents' table, which is sorted by id; longer
+        results are joined.
+        """
         titles = self.index.doc_stats.select("doc_id", "title")
+        if limit is not None and limit <= MOST_FETCHED:
+            page = rows.collect()  # as many rows as the caller's limit
+            titles = F.broadcast(titles.where(F.col("doc_id").isin([r["doc_id"] for r in page])))
+            rows = rows.sparkSession.createDataFrame(page, rows.schema)
         return rows.join(titles, "doc_id", "left").withColumn("title", F.coalesce("title", F.lit("Title not found")))
 
     @staticmethod

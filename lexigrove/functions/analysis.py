@@ -32,15 +32,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def tokens(documents: DataFrame) -> DataFrame:
+def tokens(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``(doc_id, position, token)`` of ``documents(doc_id, content, format)``; positions count from 1.
 
-    Null and blank contents have no tokens.
+    Null and blank contents have no tokens.  ``keep`` names the columns that stay.
     """
     # The outer form keeps the optimizer from cutting every text a second time to test for emptiness.
     words = F.filter(F.transform(pieces(F.col("content"), F.col("format")), strip), lambda t: t != "")
-    rows = documents.select("doc_id", F.posexplode_outer(words).alias("at", "token"))
-    return rows.where("token IS NOT NULL").select("doc_id", (F.col("at") + 1).alias("position"), "token")
+    rows = documents.select(*keep, F.posexplode_outer(words).alias("at", "token"))
+    return rows.where("token IS NOT NULL").select(*keep, (F.col("at") + 1).alias("position"), "token")
 
 
 def expand_hyphens(token: Column) -> Column:
@@ -58,10 +58,10 @@ def clean_type(raw: Column) -> Column:
     return F.when(raw.rlike("^[a-z0-9]++$"), raw).otherwise(cleaned)
 
 
-def types(documents: DataFrame) -> DataFrame:
+def types(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``(doc_id, position, term)`` before stemming; all types of a token share its position, empty ones stay."""
-    raw = tokens(documents).select("doc_id", "position", F.explode(expand_hyphens(F.col("token"))).alias("raw"))
-    return raw.select("doc_id", "position", clean_type(F.col("raw")).alias("term"))
+    raw = tokens(documents, keep).select(*keep, "position", F.explode(expand_hyphens(F.col("token"))).alias("raw"))
+    return raw.select(*keep, "position", clean_type(F.col("raw")).alias("term"))
 
 
 def spanish_types(documents: DataFrame) -> DataFrame:

@@ -6,17 +6,19 @@ stands in every document is many rows, never one array.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from lexigrove.functions.analysis import types
 from lexigrove.functions.stemmer import stem_terms
 
+_DECODED = 1 << 16
+
 
 def documents_view(df: DataFrame, doc_id: str = "doc_id", content: str = "text", fmt: str | None = "doc_format", title: str | None = "title") -> DataFrame:
     """``(doc_id, title, content, format)`` from any table; a missing format is ``txt``."""
@@ -66,22 +68,102 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     return row.select("n_docs", "total_tokens", average.alias("avg_doc_length"))
 
 
+def weighed(posted: DataFrame) -> DataFrame:
+    """Postings with their document's ``doc_length`` and ``l_d``, so that ranking joins nothing.
+
+    ``posted`` has all terms, the empty one included.  Where its rows are hashed on
+    ``doc_id`` already, as after :func:`table_postings`, nothing is shuffled.
+    """
+    by_doc = Window.partitionBy("doc_id")
+    log_weight = F.pow(1 + F.log("tf"), 2)
+    return posted.withColumn("doc_length", F.sum("tf").over(by_doc)).withColumn("l_d", F.sqrt(F.sum(log_weight).over(by_doc)))
+
+
+def table_postings(documents: DataFrame, stemmed: bool) -> DataFrame:
+    """Weighed postings of all terms: texts are shuffled once by document, not their many occurrences."""
+    rows = occurrences(documents.repartition("doc_id"), stemmed)
+    full = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    return weighed(full.select("term", "doc_id", "tf", "positions"))
+
+
 def gaps(numbers: Column) -> Column:
     """An ascending array as its first number and the differences."""
     before = F.slice(F.concat(F.array(F.lit(0)), numbers), 1, F.size(numbers))
     return F.zip_with(numbers, before, lambda x, y: x - y)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def ungap(differences: pd.Series) -> pd.Series:
-    """The inverse of :func:`gaps`; a running sum, which built-in array functions only give in quadratic time."""
-    return differences.map(lambda d: np.cumsum(d, dtype=np.int32), na_action="ignore")
+#: Documents whose ids agree but for so many low bits are one block of an encoded posting list.
+BLOCK_BITS = 16
+
+
+def with_gaps(posted: DataFrame) -> DataFrame:
+    """``(term, block, doc_id, doc_gap, tf, gaps)``: document ids and positions as differences.
+
+    The first document of a term has its id as gap.  Differences are taken within
+    blocks of ids, and a block's first one from the last id of the term's block
+    before, which one row for each term and block tells: no task gets a frequent
+    term's whole list.  A document id comes once for a term.
+    """
+    rows = posted.select("term", F.shiftright("doc_id", BLOCK_BITS).alias("block"), "doc_id", F.col("tf").cast("int").alias("tf"), gaps(F.col("positions")).alias("gaps"))
+    ends = rows.groupBy("term", "block").agg(F.max("doc_id").alias("end"))
+    begun = ends.select("term", "block", F.coalesce(F.lag("end").over(Window.partitionBy("term").orderBy("block")), F.lit(0)).alias("begun"))
+    before = F.coalesce(F.lag("doc_id").over(Window.partitionBy("term", "block").orderBy("doc_id")), F.col("begun"))
+    return rows.join(begun, ["term", "block"]).select("term", "block", "doc_id", (F.col("doc_id") - before).alias("doc_gap"), "tf", "gaps", "begun")
+
+
+def encode(posted: DataFrame) -> DataFrame:
+    """Postings as one row for each term and block: ``(term, block, begun, doc_gaps, tfs, pos_gaps)``.
+
+    ``begun`` is the last id before the block, ``pos_gaps`` holds the position gaps
+    of all its documents one after the other, ``tfs`` how many each has.
+    """
+    one = F.struct("doc_id", "doc_gap", "tf", "gaps")
+    lists = with_gaps(posted).groupBy("term", "block").agg(F.min("begun").alias("begun"), F.sort_array(F.collect_list(one)).alias("l"))
+    return lists.select("term", "block", "begun", F.col("l.doc_gap").alias("doc_gaps"), F.col("l.tf").alias("tfs"), F.flatten(F.col("l.gaps")).alias("pos_gaps"))
+
+
+def running(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew after each of ``sizes`` values."""
+    sums = np.cumsum(values, dtype=np.int64)
+    ends = np.cumsum(sizes)
+    base = np.concatenate([[0], sums])[ends - sizes]
+    return sums - np.repeat(base, sizes)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        docs, tfs, positions = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_gaps", "tfs", "pos_gaps"))
+        per_row = docs.value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), per_row)
+        begun = batch.column(batch.schema.get_field_index("begun")).to_numpy(zero_copy_only=False)
+        ids = running(docs.flatten().to_numpy(zero_copy_only=False), per_row) + begun[row]
+        sizes = tfs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        places = running(positions.flatten().to_numpy(zero_copy_only=False), sizes).astype(np.int32)
+        terms = batch.column(batch.schema.get_field_index("term")).take(pa.array(row))
+        for lo in range(0, len(row), _DECODED):
+            hi = min(lo + _DECODED, len(row))
+            first, last = int(sizes[:lo].sum()), int(sizes[:hi].sum())
+            offsets = np.concatenate([[0], np.cumsum(sizes[lo:hi])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[first:last]))
+            yield pa.RecordBatch.from_arrays([terms.slice(lo, hi - lo), pa.array(ids[lo:hi]), pa.array(sizes[lo:hi]), lists], names=["term", "doc_id", "tf", "positions"])
+
+
+def decode(encoded: DataFrame) -> DataFrame:
+    """The postings of rows as :func:`encode` makes them, from whatever source; whole batches are summed at once."""
+    return encoded.select("term", "begun", "doc_gaps", "tfs", "pos_gaps").mapInArrow(_decoded, "term string, doc_id long, tf long, positions array<int>")
 
 
 def merge_blocks(blocks: DataFrame) -> DataFrame:
-    """Postings of several blocks merged: positions of one term and document united in order, repeats kept."""
-    rows = blocks.groupBy("term", "doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    return rows.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), F.sort_array("positions").alias("positions"))
+    """Postings of several blocks merged: positions of one term and document united in order, repeats kept.
+
+    Null terms, documents and positions, and documents without a position, are left
+    out; the empty term is a term.
+    """
+    rows = blocks.where("term IS NOT NULL AND doc_id IS NOT NULL").groupBy("term", "doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+    kept = F.filter("positions", lambda p: p.isNotNull())
+    return rows.select("term", "doc_id", F.sort_array(kept).alias("positions")).where(F.size("positions") > 0).select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 @dataclass(frozen=True)
@@ -98,8 +180,8 @@ class Index:
     @staticmethod
     def build(documents: DataFrame, stemmed: bool = True) -> Index:
         """Index of ``documents(doc_id, title, content, format)``; nothing runs yet."""
-        rows = occurrences(documents, stemmed)
-        posted, stats = postings(rows), doc_stats(documents, term_frequencies(rows))
+        full = table_postings(documents, stemmed)
+        posted, stats = full.where("term <> ''"), doc_stats(documents, full.select("doc_id", "term", "tf"))
         return Index(posted, term_stats(posted), stats, corpus_stats(stats), stemmed)
 
     @staticmethod
@@ -108,18 +190,22 @@ class Index:
 
         Texts are gone through once: all other tables come from the written
         postings, of which only the columns they need are read.  Postings are
-        ranged and sorted by term, so a term's rows lie in few row groups and a
-        scan skips the rest by their statistics.  The empty term's rows are
+        ranged and sorted by term, and documents by id, so what is asked for lies in
+        few row groups and a scan skips the rest by their statistics.  The empty term's rows are
         written too, for the documents' lengths, and left out when the index is
         opened.
         """
+        return Index.write(table_postings(documents, stemmed), documents, path, stemmed)
+
+    @staticmethod
+    def write(full: DataFrame, documents: DataFrame, path: str, stemmed: bool) -> Index:
+        """Write weighed postings of all terms, and the tables that follow from them and ``documents(doc_id, title)``."""
         spark = documents.sparkSession
-        full = postings(occurrences(documents, stemmed), with_empty=True)
         full.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         written = spark.read.parquet(f"{path}/postings").select("term", "doc_id", "tf")
         terms = term_stats(written.where("term <> ''"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        doc_stats(documents, written).write.mode("overwrite").parquet(f"{path}/doc_stats")
+        doc_stats(documents, written).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/doc_stats")
         corpus_stats(spark.read.parquet(f"{path}/doc_stats")).withColumn("stemmed", F.lit(stemmed)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")
         return Index.load(spark, path)
 

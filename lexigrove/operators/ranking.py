@@ -14,12 +14,13 @@ class UnknownTermError(ZeroDivisionError):
     """A term of a strict tf-idf query stands in no document."""
 
 
-def rank(terms: list[str], postings: DataFrame, doc_stats: DataFrame, corpus_stats: DataFrame, mode: str = "bm25", strict: bool = False) -> DataFrame:
+def rank(terms: list[str], postings: DataFrame, corpus_stats: DataFrame, mode: str = "bm25", strict: bool = False) -> DataFrame:
     """``(doc_id, score, first_term)`` of every document with one of the terms; a repeated term counts again.
 
     The query's terms are a list on the driver, so they become a filter at the
     scan and a literal map; document frequencies come from the same filtered
-    postings.  Unknown terms add nothing; with ``strict`` tf-idf raises for them.
+    postings, and the documents' lengths stand in the postings' rows, so nothing
+    is joined: one scan and one aggregation by document.  Unknown terms add nothing; with ``strict`` tf-idf raises for them.
     ``first_term`` is the index of the first term that a document has, for ties.
     """
     if mode not in MODES:
@@ -28,7 +29,7 @@ def rank(terms: list[str], postings: DataFrame, doc_stats: DataFrame, corpus_sta
     distinct = list(dict.fromkeys(terms))
     if not distinct:
         return spark.createDataFrame([], "doc_id long, score double, first_term int")
-    hits = postings.where(F.col("term").isin(distinct)).select("term", "doc_id", "tf")
+    hits = postings.where(F.col("term").isin(distinct)).select("term", "doc_id", "tf", "doc_length", "l_d")
     found = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # one row for each term of the query
     if strict and mode == "tfidf" and len(found) < len(distinct):
         raise UnknownTermError("a term stands in no document")
@@ -47,12 +48,10 @@ def rank(terms: list[str], postings: DataFrame, doc_stats: DataFrame, corpus_sta
     tf, n = F.col("tf"), F.lit(float(n_docs))
     if mode == "bm25":
         query = F.greatest(F.lit(LEAST_IDF), F.log((n - df + 0.5) / (df + 0.5)))
-        rows = hits.join(doc_stats.select("doc_id", "doc_length"), "doc_id")
         share = query * ((K1 + 1) * tf / (K1 * ((1 - B) + B * F.col("doc_length") / F.lit(average)) + tf))
     else:
-        rows = hits.join(doc_stats.select("doc_id", "l_d"), "doc_id", "left")
-        share = F.log(1 + n / df) * (1 + F.log(tf)) / F.coalesce("l_d", F.lit(1.0))
-    return rows.groupBy("doc_id").agg(F.sum(share * times).alias("score"), F.min(first).alias("first_term"))
+        share = F.log(1 + n / df) * (1 + F.log(tf)) / F.col("l_d")
+    return hits.groupBy("doc_id").agg(F.sum(share * times).alias("score"), F.min(first).alias("first_term"))
 
 
 def page(ranked: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:

@@ -1,24 +1,28 @@
-"""Queries over the ``documents`` table, one for each operator of the search engine, and their SQL twins.
+"""Queries over the ``documents`` table, one for each operator of indexing and search, and their SQL twins.
+
+Searches read a written index, which the first of them builds for each table and
+kind of terms; ``index_create`` always builds one.
 
 Terms aren't stemmed where SQL checks the result, as SQL has no stemmer.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import analysis
 from lexigrove.functions.stemmer import stem_terms
 from lexigrove.operators import index as ix
+from lexigrove.finder import PAGE, Finder
 from lexigrove.operators import ranking, spelling
-from lexigrove.plans.ast import Node, TermLiteral
 from lexigrove.plans.compiler import Compiler
-from lexigrove.plans.parser import English, parse, ranked_terms
-from lexigrove.session import stage, table
-from lexigrove.sources.files import json_files, xml_files
+from lexigrove.plans.parser import English, Spanish, parse, ranked_terms
+from lexigrove.session import keep_until_exit, shared_dir, table, version
+from lexigrove.sources.files import Corpus, json_files, merged_lines, merged_postings, tei_text, write_files, xml_files
 
 PLAIN = English(stemmed=False)
 RANKED = "quiet harbor trail"
@@ -26,14 +30,126 @@ REPEATED = "quiet quiet harbor"
 MISSPELT = "harbr museun quiett"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The indexed view of the table."""
-    return ix.documents_view(table(spark, sf_dir, "documents", spread=True))
+def documents(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """The indexed view of the table; dealt out by document where ``by`` says so, for what is counted by document."""
+    return ix.documents_view(table(spark, sf_dir, "documents", spread=True, by=by))
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All occurrences, not stemmed."""
-    return ix.occurrences(documents(spark, sf_dir))
+    """All occurrences, not stemmed, those of a document in one partition."""
+    return ix.occurrences(documents(spark, sf_dir, "doc_id"))
+
+
+_BUILT: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
+    """The written index of a table, built when it is first asked for and again when the table has changed."""
+    source = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, source, version(spark, source), stemmed)
+    if key not in _BUILT or not ix.Index.exists(spark, _BUILT[key]):
+        _BUILT[key] = str(_created(spark, sf_dir, stemmed).path)
+    return ix.Index.load(spark, _BUILT[key])
+
+
+def _created(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
+    path = f"{shared_dir(spark)}/lexigrove-{uuid.uuid4().hex}/index"
+    keep_until_exit(spark, path)
+    return ix.Index.create(ix.documents_view(table(spark, sf_dir, "documents")), path, stemmed)
+
+
+def index_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new index of the whole table, and how large it is."""
+    made = _created(spark, sf_dir)
+    terms = made.term_stats.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"))
+    return made.corpus_stats.select("n_docs", "total_tokens").crossJoin(F.broadcast(terms))  # one row each
+
+
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written postings, read back as a whole."""
+    return index(spark, sf_dir).postings.select("term", "doc_id", "tf", _text("positions").alias("positions"), "doc_length", F.round("l_d", 6).alias("l_d"))
+
+
+def index_term_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One term's documents with their positions."""
+    return index(spark, sf_dir).term_postings("harbor").select("doc_id", _text("positions").alias("positions"))
+
+
+def index_term_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One term's documents, read without positions."""
+    return index(spark, sf_dir).term_postings("harbor", positions=False)
+
+
+def index_term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the dictionary with their numbers of documents and occurrences; unknown ones are absent."""
+    return index(spark, sf_dir).term_stats.where(F.col("term").isin("harbor", "quiet", "zzzz"))
+
+
+def index_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written dictionary's terms in order."""
+    return index(spark, sf_dir).vocabulary()
+
+
+def index_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written documents' table."""
+    return index(spark, sf_dir).doc_stats.select("doc_id", "title", "doc_length", F.round("l_d", 6).alias("l_d"))
+
+
+def index_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written totals."""
+    return index(spark, sf_dir).corpus_stats.select("n_docs", "total_tokens", F.round("avg_doc_length", 6).alias("avg_doc_length"))
+
+
+def _text(numbers: str) -> Column:
+    return F.array_join(F.col(numbers).cast("array<string>"), " ")
+
+
+def _finder(spark: SparkSession, sf_dir: str) -> Finder:
+    return Finder(index(spark, sf_dir))
+
+
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a ranked search, with titles."""
+    return _finder(spark, sf_dir).page(RANKED, 1)
+
+
+def search_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results of a Boolean search, with titles."""
+    return _finder(spark, sf_dir).search("quiet harbor").select("doc_id", "title", "score")
+
+
+def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked results as lines of text."""
+    finder = _finder(spark, sf_dir)
+    return finder.rendered(finder.search(RANKED, "bm25", PAGE))
+
+
+def result_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents a query finds."""
+    return _boolean("quiet + harbor")(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+def rank_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranked query whose words are only lower-cased, so those with other characters are unknown."""
+    made = index(spark, sf_dir)
+    terms = ranked_terms("Quiet HARBOR, trail", PLAIN, strict=True)
+    return ranking.page(ranking.rank(terms, made.postings, made.corpus_stats, "bm25", strict=True), 10)
+
+
+def spanish_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Spanish query over the Spanish documents' words."""
+    spanish = ix.documents_view(table(spark, sf_dir, "documents").where("lang = 'es'"))
+    posted = ix.postings(analysis.spanish_types(spanish))
+    return Compiler(posted, spanish).docs(parse("Parque + montaña -museo", Spanish()))
+
+
+#: Queries whose trees ``query_trees`` prints.
+TREES = ["cat dog", "cat + dog", 'cat dog + mouse "quick fox"', "cat -dog", "-cat", 'a -"b c"', "--cat", "ice-cream + -x"]
+
+
+def query_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries as they are read."""
+    return spark.createDataFrame([(q, str(parse(q, PLAIN))) for q in TREES], "query string, tree string")
 
 
 def tokenize_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +218,14 @@ def doc_weights_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir).select("doc_id", F.round("l_d_tf", 6).alias("l_d"))
 
 
-def _compiled(spark: SparkSession, sf_dir: str, text: str, strict: bool = False) -> tuple[Compiler, Node]:
-    """A query's tree, and the compiler over the postings of its terms, which are made in one pass over the texts."""
-    tree = parse(text, PLAIN, strict)
-    terms = sorted({n.term for n in tree.walk() if isinstance(n, TermLiteral)})
-    asked = stage(ix.postings(occurrences(spark, sf_dir).where(F.col("term").isin(terms))), "asked")
-    return Compiler(asked, documents(spark, sf_dir), strict), tree
+def _compiled(spark: SparkSession, sf_dir: str, strict: bool = False) -> Compiler:
+    made = index(spark, sf_dir)
+    return Compiler(made.postings, made.doc_stats, strict)
 
 
 def _boolean(text: str, strict: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        compiler, tree = _compiled(spark, sf_dir, text, strict)
-        return compiler.docs(tree)
+        return _compiled(spark, sf_dir, strict).docs(parse(text, PLAIN, strict))
 
     run.__doc__ = f"Documents for the query: {text}"
     return run
@@ -121,25 +233,17 @@ def _boolean(text: str, strict: bool = False) -> Callable[[SparkSession, str], D
 
 def phrase_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a phrase ends in each document."""
-    compiler, tree = _compiled(spark, sf_dir, '"of the"')
-    rows = compiler.matched(tree)
-    return rows.select("doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+    return _compiled(spark, sf_dir).matched(parse('"of the"', PLAIN)).select("doc_id", _text("positions").alias("positions"))
 
 
 def or_first_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OR with the positions of the first component that a document has."""
-    compiler, tree = _compiled(spark, sf_dir, "quiet + harbor")
-    rows = compiler.matched(tree)
-    return rows.select("doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+    return _compiled(spark, sf_dir).matched(parse("quiet + harbor", PLAIN)).select("doc_id", _text("positions").alias("positions"))
 
 
 def _rank(spark: SparkSession, sf_dir: str, terms: list[str], mode: str, stemmed: bool) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    rows = ix.occurrences(docs, stemmed)
-    # Document statistics and the asked terms' frequencies are made once, as an index would have them.
-    stats = stage(ix.doc_stats(docs, ix.term_frequencies(rows)), "doc_stats")
-    posted = stage(ix.term_frequencies(rows.where(F.col("term").isin(terms))), "asked")
-    return ranking.rank(terms, posted, stats, ix.corpus_stats(stats), mode)
+    made = index(spark, sf_dir, stemmed)
+    return ranking.rank(terms, made.postings, made.corpus_stats, mode)
 
 
 def _ranked(text: str, mode: str, limit: int | None, offset: int = 0) -> Callable[[SparkSession, str], DataFrame]:
@@ -152,7 +256,7 @@ def _ranked(text: str, mode: str, limit: int | None, offset: int = 0) -> Callabl
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences(spark, sf_dir).where("term <> ''").select("term").distinct()
+    return index(spark, sf_dir).term_stats.select("term")
 
 
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,53 +282,78 @@ def matches_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions of each posting as gaps."""
-    gaps = ix.gaps(F.col("positions"))
-    return _postings(spark, sf_dir).select("term", "doc_id", F.array_join(gaps.cast("array<string>"), " ").alias("gaps"))
+    """Document ids and positions of each posting as gaps."""
+    return ix.with_gaps(_postings(spark, sf_dir)).select("term", "doc_id", "doc_gap", _text("gaps").alias("gaps"))
 
 
 def gap_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps decoded to positions again."""
-    rows = _postings(spark, sf_dir).select("term", "doc_id", ix.gaps(F.col("positions")).alias("gaps"))
-    return rows.select("term", "doc_id", F.array_join(ix.ungap(F.col("gaps")).cast("array<string>"), " ").alias("positions"))
+    """Encoded posting lists decoded again."""
+    return ix.decode(ix.encode(_postings(spark, sf_dir))).select("term", "doc_id", "tf", _text("positions").alias("positions"))
 
 
 def blocks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of the ``term_positions`` blocks merged; null terms, documents and positions are left out."""
-    rows = table(spark, sf_dir, "term_positions").where("term IS NOT NULL AND doc_id IS NOT NULL AND token_pos IS NOT NULL AND term <> ''")
-    blocks = rows.groupBy("term", "doc_id", "block_no").agg(F.collect_list("token_pos").alias("positions"))
-    return ix.merge_blocks(blocks).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+    """Postings of the ``term_positions`` blocks merged."""
+    blocks = table(spark, sf_dir, "term_positions").groupBy("term", "doc_id", "block_no").agg(F.collect_list("token_pos").alias("positions"))
+    return ix.merge_blocks(blocks).select("term", "doc_id", "tf", _text("positions").alias("positions"))
+
+
+def postings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings written as lines of the older text format and read again."""
+    blocks = table(spark, sf_dir, "term_positions").groupBy("term", "doc_id").agg(F.collect_list("token_pos").alias("positions"))
+    path = f"{shared_dir(spark)}/lexigrove-{uuid.uuid4().hex}/lines"
+    keep_until_exit(spark, path)
+    merged_lines(ix.merge_blocks(blocks)).write.text(path)
+    return merged_postings(spark, path).select("term", "doc_id", "tf", _text("positions").alias("positions"))
 
 
 def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of found documents, with a text for those without one."""
-    found = _boolean("quiet harbor")(spark, sf_dir)
-    titles = documents(spark, sf_dir).select("doc_id", "title")
-    return found.join(titles, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("Title not found")).alias("title"))
+    return _finder(spark, sf_dir).titled(_boolean("quiet harbor")(spark, sf_dir)).select("doc_id", "title")
 
 
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results as lines of text."""
-    return title_lookup(spark, sf_dir).select("doc_id", F.format_string("Document ID# %d - %s", "doc_id", "title").alias("line"))
+    """Boolean results as lines of text."""
+    finder = _finder(spark, sf_dir)
+    return finder.rendered(finder.search("quiet harbor"))
 
 
 def doc_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as its title with its id."""
-    return documents(spark, sf_dir).where("title IS NOT NULL").select("doc_id", F.format_string("%s (ID %d)", "title", "doc_id").alias("display"))
+    return Corpus(documents(spark, sf_dir)).display()
 
 
 def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and body of every JSON file that can be parsed."""
-    raw = table(spark, sf_dir, "json_files").where(F.rtrim("raw_json").endswith("}"))
-    read = json_files(raw.select(F.col("file_id").cast("string").alias("path"), F.col("raw_json").alias("value")))
-    return read.select(F.col("path").cast("long").alias("file_id"), "title", "content")
+    """Title and body of every JSON file, and what is wrong with those that can't be parsed."""
+    read = json_files(table(spark, sf_dir, "json_files").select(F.col("file_id").cast("string").alias("path"), F.col("raw_json").alias("value")))
+    return read.select(F.col("path").cast("long").alias("file_id"), "title", "content", "problem")
 
 
 def xml_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles and contents of XML documents made of the nations' names."""
-    text = F.format_string('<TEI xmlns="http://www.tei-c.org/ns/1.0"><head><title>%s</title></head><p>nation <b>%s</b> tail</p></TEI>', "n_name", F.col("n_nationkey").cast("string"))
-    raw = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), text.alias("value"))
-    return xml_files(raw).select("path", "title", "content")
+    """Titles and contents of XML documents made of all titles and texts; every seventh is cut off and so reported."""
+    text = tei_text(F.col("title"), F.col("text"))
+    cut = F.when(F.col("doc_id") % 7 == 0, F.expr("substr(x, 1, length(x) - 3)")).otherwise(F.col("x"))
+    raw = table(spark, sf_dir, "documents", spread=True).select("doc_id", text.alias("x")).select(F.col("doc_id").cast("string").alias("path"), cut.alias("value"))
+    return xml_files(raw).select(F.col("path").cast("long").alias("doc_id"), "title", "content", F.col("problem").isNotNull().alias("bad"))
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each document, in its format."""
+    text = F.coalesce("text", F.lit(""))
+    kind = F.when(F.col("doc_format").isin("json", "xml"), F.col("doc_format")).otherwise("txt")
+    value = F.when(kind == "json", F.to_json(F.struct("title", F.col("text").alias("body")))).when(kind == "xml", tei_text(F.col("title"), F.col("text"))).otherwise(text)
+    name = F.concat(F.format_string("%012d", "doc_id"), F.lit("."), kind)
+    return write_files(table(spark, sf_dir, "documents", spread=True).select(name.alias("name"), value.alias("value")))
+
+
+def directory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of text, JSON and XML files as documents, numbered in order of the paths."""
+    return Corpus.from_directory(spark, _folder(spark, sf_dir)).documents
+
+
+def directory_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON and XML files of a folder whose names have a 7."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return Corpus.from_directory(spark, _folder(spark, sf_dir), [".json", ".xml"], name.contains("7")).documents.select("doc_id", "title", "format")
 
 
 def spanish_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +389,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "term_freq": term_freq,
     "doc_weights_log": doc_weights_log,
     "doc_weights_tf": doc_weights_tf,
+    "index_create": index_create,
+    "index_postings": index_postings,
+    "index_term_positions": index_term_positions,
+    "index_term_docs": index_term_docs,
+    "index_term_lookup": index_term_lookup,
+    "index_vocabulary": index_vocabulary,
+    "index_doc_stats": index_doc_stats,
+    "index_corpus_stats": index_corpus_stats,
     "bool_term": _boolean("harbor"),
     "bool_and": _boolean("quiet harbor"),
     "bool_and3": _boolean("quiet harbor trail"),
@@ -282,6 +419,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_bm25_all": _ranked(RANKED, "bm25", None),
     "rank_dup_terms": _ranked(REPEATED, "bm25", 10),
     "rank_paged": _ranked(RANKED, "bm25", 15, 15),
+    "rank_strict": rank_strict,
+    "search_page": search_page,
+    "search_boolean": search_boolean,
+    "search_lines": search_lines,
+    "result_count": result_count,
+    "query_trees": query_trees,
+    "spanish_search": spanish_search,
     "levenshtein_pairs": levenshtein_pairs,
     "spell_top5": spell_top5,
     "spell_query": spell_query,
@@ -289,6 +433,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gap_encode": gap_encode,
     "gap_decode": gap_decode,
     "blocks_merged": blocks_merged,
+    "postings_text": postings_text,
+    "directory_source": directory_source,
+    "directory_filtered": directory_filtered,
     "title_lookup": title_lookup,
     "result_lines": result_lines,
     "doc_display": doc_display,
@@ -364,7 +511,49 @@ def _hits(name: str) -> str:
 
 _TOKENS = r"regexp_split_to_array(lower(coalesce(text, '')), '[ \n\r]')"
 
+_XML_OUT = r"[^\x{9}\x{A}\x{D}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
+
+
+def _xml_text(column: str) -> str:
+    return f"regexp_replace(coalesce({column}, ''), '{_XML_OUT}', '', 'g')"
+
+
+def _lines(*columns: str) -> str:
+    """Those of the columns that aren't blank, one to a line."""
+    kept = ", ".join(f"CASE WHEN NOT regexp_full_match({c}, '{_SPACE}*') THEN {c} END" for c in columns)
+    return f"concat_ws(chr(10), {kept})"
+
+
+_TEI_TITLE = _xml_text("title")
+_TEI_CONTENT = _lines(_TEI_TITLE, _xml_text("text"))
+_EXTENSION = "CASE WHEN doc_format IN ('json', 'xml') THEN doc_format ELSE 'txt' END"
+_MERGED = "SELECT term, doc_id, count(*) AS tf, array_to_string(list(token_pos ORDER BY token_pos), ' ') AS positions FROM term_positions WHERE term IS NOT NULL AND doc_id IS NOT NULL AND token_pos IS NOT NULL GROUP BY term, doc_id"
+
 SQL: dict[str, str] = {
+    "index_create": f"WITH {_STATS} SELECT n_docs, total_tokens, (SELECT count(*) FROM dfs) AS n_terms, (SELECT CAST(sum(df) AS BIGINT) FROM dfs) AS n_postings FROM corpus",
+    "index_postings": f"WITH {_STATS}, post AS (SELECT term, doc_id, count(*) AS tf, array_to_string(list(position ORDER BY position), ' ') AS positions FROM occ WHERE term <> '' GROUP BY term, doc_id) SELECT term, doc_id, tf, positions, doc_length, round(l_d, 6) AS l_d FROM post JOIN stats USING (doc_id)",
+    "index_term_positions": f"WITH {_POST} SELECT doc_id, array_to_string(positions, ' ') AS positions FROM post WHERE term = 'harbor'",
+    "index_term_docs": f"WITH {_POST} {_has('harbor')}",
+    "index_term_lookup": f"WITH {_STATS} SELECT term, df, cf FROM dfs WHERE term IN ('harbor', 'quiet', 'zzzz')",
+    "index_vocabulary": f"WITH {_TOK} SELECT DISTINCT term FROM occ WHERE term <> '' ORDER BY term",
+    "index_doc_stats": f"WITH {_STATS} SELECT s.doc_id, title, doc_length, round(l_d, 6) AS l_d FROM stats s JOIN documents d ON d.doc_id = s.doc_id",
+    "index_corpus_stats": f"WITH {_STATS} SELECT n_docs, total_tokens, round(avg_doc_length, 6) AS avg_doc_length FROM corpus",
+    "rank_strict": _rank_sql(["quiet", "harbor,", "trail"], "bm25", "LIMIT 10"),
+    "search_page": f"SELECT doc_id, coalesce(title, 'Title not found') AS title, score FROM ({_rank_sql(RANKED.split(), 'bm25', 'LIMIT 15 OFFSET 15')}) JOIN documents USING (doc_id)",
+    "search_boolean": f"SELECT doc_id, title, CAST(0 AS DOUBLE) AS score FROM ({_TITLED})",
+    "search_lines": f"""SELECT doc_id, 'Document ID# ' || doc_id || ' - ' || coalesce(title, 'Title not found') || CASE WHEN score > 0 THEN printf(' - Score: %.3f', score) ELSE '' END AS line
+        FROM ({_rank_sql(RANKED.split(), 'bm25', 'LIMIT 15')}) JOIN documents USING (doc_id)""",
+    "result_count": f"WITH {_POST} SELECT count(*) AS n FROM ({_has('quiet')} UNION {_has('harbor')})",
+    "query_trees": """SELECT * FROM (VALUES ('cat dog', 'cat AND dog'), ('cat + dog', '(cat OR dog)'), ('cat dog + mouse "quick fox"', '(cat AND dog OR mouse AND "quick fox")'), ('cat -dog', 'cat AND NOT (dog)'),
+        ('-cat', 'NOT (cat)'), ('a -"b c"', 'a AND NOT ("b c")'), ('--cat', 'cat'), ('ice-cream + -x', '(icecream OR NOT (x))')) AS t(query, tree)""",
+    "spanish_search": r"""WITH words AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w))) AS term FROM documents WHERE lang = 'es')
+        SELECT doc_id FROM words WHERE term = 'parque' UNION (SELECT doc_id FROM words WHERE term = 'montaña' EXCEPT SELECT doc_id FROM words WHERE term = 'museo')""",
+    "postings_text": _MERGED,
+    "directory_source": f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, {_EXTENSION} AS format, CAST(NULL AS VARCHAR) AS problem,
+        CASE doc_format WHEN 'json' THEN coalesce(title, '') WHEN 'xml' THEN {_TEI_TITLE} ELSE printf('%012d', doc_id) END AS title,
+        CASE doc_format WHEN 'xml' THEN {_TEI_CONTENT} ELSE coalesce(text, '') END AS content
+        FROM documents WHERE coalesce(doc_format IN ('json', 'xml'), false) OR text <> ''""",
+    "directory_filtered": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, CASE doc_format WHEN 'json' THEN coalesce(title, '') ELSE {_TEI_TITLE} END AS title, doc_format AS format FROM documents WHERE doc_format IN ('json', 'xml') AND contains(printf('%012d', doc_id), '7')",
     "tokenize_positions": f"WITH {_TOK} SELECT doc_id, CAST(position AS INTEGER) AS position, token FROM tok",
     "hyphen_expansion": f"WITH {_TOK} SELECT doc_id, position, term FROM occ WHERE contains(token, '-')",
     "occurrence_rows": f"WITH {_TOK} SELECT doc_id, position, term FROM occ",
@@ -403,14 +592,15 @@ SQL: dict[str, str] = {
     "spell_top5": _NEAREST + " SELECT word, CAST(rank AS INTEGER) AS rank, term, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 5",
     "spell_query": _NEAREST + " SELECT string_agg(term, ' ' ORDER BY i) AS corrected FROM ranked WHERE rank = 1",
     "matches_predicate": f"SELECT doc_id, (list_contains({_TOKENS}, 'quiet') AND NOT list_contains({_TOKENS}, 'harbor')) OR (list_contains({_TOKENS}, 'the') AND list_contains({_TOKENS}, 'trail')) AS hit FROM documents",
-    "gap_encode": f"WITH {_POST} SELECT term, doc_id, array_to_string(list_transform(positions, lambda p, i: p - CASE WHEN i > 1 THEN positions[i - 1] ELSE 0 END), ' ') AS gaps FROM post",
-    "gap_decode": f"WITH {_POST} SELECT term, doc_id, array_to_string(positions, ' ') AS positions FROM post",
-    "blocks_merged": "SELECT term, doc_id, count(*) AS tf, array_to_string(list(token_pos ORDER BY token_pos), ' ') AS positions FROM term_positions WHERE term <> '' AND doc_id IS NOT NULL AND token_pos IS NOT NULL GROUP BY term, doc_id",
+    "gap_encode": f"WITH {_POST} SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS doc_gap, array_to_string(list_transform(positions, lambda p, i: p - CASE WHEN i > 1 THEN positions[i - 1] ELSE 0 END), ' ') AS gaps FROM post",
+    "gap_decode": f"WITH {_POST} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post",
+    "blocks_merged": _MERGED,
     "title_lookup": _TITLED,
     "result_lines": f"SELECT doc_id, 'Document ID# ' || doc_id || ' - ' || title AS line FROM ({_TITLED})",
-    "doc_display": "SELECT doc_id, title || ' (ID ' || doc_id || ')' AS display FROM documents WHERE title IS NOT NULL",
-    "json_source": "SELECT file_id, coalesce(json_extract_string(raw_json, '$.title'), '') AS title, coalesce(json_extract_string(raw_json, '$.body'), '') AS content FROM json_files WHERE json_valid(raw_json)",
+    "doc_display": "SELECT doc_id, coalesce(title, '') || ' (ID ' || doc_id || ')' AS display FROM documents",
+    "json_source": """SELECT file_id, CASE WHEN json_valid(raw_json) THEN coalesce(json_extract_string(raw_json, '$.title'), '') ELSE '' END AS title, CASE WHEN json_valid(raw_json) THEN coalesce(json_extract_string(raw_json, '$.body'), '') ELSE '' END AS content,
+        CASE WHEN raw_json IS NOT NULL AND NOT json_valid(raw_json) THEN 'json: not one whole object' END AS problem FROM json_files""",
     "detect_language": f"SELECT doc_id, CASE WHEN {_hits('spanish')} > {_hits('english')} THEN 'spanish' ELSE 'english' END AS language FROM documents",
-    "xml_source": "SELECT CAST(n_nationkey AS VARCHAR) AS path, n_name AS title, n_name || chr(10) || 'nation ' || chr(10) || n_nationkey AS content FROM nation",
+    "xml_source": f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_TEI_TITLE} END AS title, CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_TEI_CONTENT} END AS content, doc_id % 7 = 0 AS bad FROM documents",
     "spanish_terms": r"SELECT term, count(*) AS cf FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w))) AS term FROM documents WHERE lang = 'es') WHERE regexp_full_match(term, '\p{L}+') GROUP BY term",
 }

@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.engine import SearchEngine
+from lexigrove.finder import Finder
 from lexigrove.operators import index as ix
 from lexigrove.sources.files import Corpus, merged_postings, read_xml
-from lexigrove.streaming.ingest import index_stream, streamed_index, term_counts
+from lexigrove.streaming.ingest import compact, index_stream, streamed_index, term_counts
 from tests.conftest import rows
 
 TEI = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><title>Hi</title><p>a <b>bold</b> tail</p></TEI>'
@@ -50,7 +50,22 @@ def test_added_format(spark, folder):
 def test_xml_titles():
     tei = "http://www.tei-c.org/ns/1.0"
     assert read_xml(f'<a xmlns="{tei}"><head><title>x</title></head></a>')[0] == "x"
-    assert read_xml("<a><title>no namespace</title> </a>") == ("", "no namespace")
+    assert read_xml("<a><title>no namespace</title> </a>") == ("", "no namespace", None)
+    assert read_xml(f'<a xmlns="{tei}"><head><title/></head><title> </title></a>')[0] == " "
+    assert read_xml(f'<a xmlns="{tei}"><x><title>deep</title></x>lost<b>kept<i/>lost</b></a>') == ("", "deep\nkept", None)
+    assert read_xml("<a><b>cut")[:2] == ("", "") and "line 1" in read_xml("<a><b>cut")[2]
+    assert read_xml("")[2]
+
+
+def test_malformed_files_are_reported(spark, folder):
+    (folder / "bad.xml").write_text("<a>open")
+    (folder / "bad.json").write_text('{"title": "x", "body": "cut o')
+    (folder / "empty.txt").write_text("")
+    corpus = Corpus.from_directory(spark, str(folder))
+    assert len(corpus) == 6  # not the file of no bytes
+    problems = rows(corpus.problems(), "problem")
+    assert len(problems) == 2 and problems[0] == ("json: not one whole object",) and problems[1][0].startswith("xml: ")
+    assert corpus.documents.where("problem IS NOT NULL AND (content <> '' OR title <> '')").count() == 0
 
 
 def documents(spark):
@@ -74,7 +89,17 @@ def test_tables(spark):
 def test_gaps(spark):
     table = spark.createDataFrame([([1, 3, 3, 10],), ([7],), ([],)], "p array<int>")
     assert [r[0] for r in table.select(ix.gaps(F.col("p"))).collect()] == [[1, 2, 0, 7], [7], []]
-    assert [r[0] for r in table.select(ix.ungap(ix.gaps(F.col("p")))).collect()] == [[1, 3, 3, 10], [7], []]
+
+
+def test_posting_lists(spark, monkeypatch):
+    posted = [("a", 3, 2, [1, 5]), ("a", 70000, 1, [2]), ("a", 70001, 3, [4, 4, 9]), ("a", 400000, 1, [8]), ("b", 1, 1, [6])]
+    df = spark.createDataFrame(posted, "term string, doc_id long, tf long, positions array<int>").repartition(3)
+    assert rows(ix.with_gaps(df), "term", "doc_id", "doc_gap", "gaps") == sorted([("a", 3, 3, [1, 4]), ("a", 70000, 69997, [2]), ("a", 70001, 1, [4, 0, 5]), ("a", 400000, 329999, [8]), ("b", 1, 1, [6])], key=repr)
+    assert rows(ix.decode(ix.encode(df))) == sorted(posted, key=repr)
+    foreign = spark.createDataFrame([("x", 10, [2, 3], [1, 2], [7, 1, 1]), ("y", 0, [], [], []), ("z", 0, [5], [1], [4])], "term string, begun long, doc_gaps array<long>, tfs array<int>, pos_gaps array<int>")
+    monkeypatch.setattr(ix, "_DECODED", 2)
+    assert rows(ix.decode(foreign)) == [("x", 12, 1, [7]), ("x", 15, 2, [1, 2]), ("z", 5, 1, [4])]
+    assert ix.decode(ix.encode(df.limit(0))).count() == 0
 
 
 def test_merged_blocks_and_text(spark, tmp_path):
@@ -87,33 +112,50 @@ def test_merged_blocks_and_text(spark, tmp_path):
 def test_engine(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index") / "i")
     with pytest.raises(FileNotFoundError):
-        SearchEngine.load(spark, path)
-    SearchEngine.create(Corpus.from_directory(spark, str(folder)), path)
-    engine = SearchEngine.load(spark, path)
+        Finder.load(spark, path)
+    Finder.create(Corpus.from_directory(spark, str(folder)), path)
+    engine = Finder.load(spark, path)
     assert engine.search("test document").count() == 2
     assert rows(engine.search("fox run"), "title", "score") == [("doc2", 0.0)]
     assert engine.search('"running foxes"', "boolean").count() == 1
     best = engine.search("running test", "bm25", 1).collect()
     assert [r["title"] for r in best] == ["doc2"] and best[0]["score"] > 0
     assert engine.page("test", 1).count() == 0
-    assert "Score:" in SearchEngine.rendered(engine.search("fox", "tfidf")).first()["line"]
+    assert "Score:" in Finder.rendered(engine.search("fox", "tfidf")).first()["line"]
     assert engine.suggest("tset").count() == 5
     assert engine.correct("tets").first()[0] in ("test", "text")
     assert [r[0] for r in engine.index.vocabulary().collect()] == sorted(r[0] for r in engine.index.vocabulary().collect())
     assert rows(engine.index.term_postings("fox", positions=False)) == rows(engine.index.term_postings("fox").select("doc_id"))
     with pytest.raises(ValueError):
         engine.search("x", "magic")
-    SearchEngine.create(Corpus.from_table(documents(spark), content="content"), path)
-    assert SearchEngine.load(spark, path).search("dog").count() == 2
+    Finder.create(Corpus.from_table(documents(spark), content="content"), path)
+    assert Finder.load(spark, path).search("dog").count() == 2
     hyphens = spark.createDataFrame([(1, "x", "cat- - dog", "txt")], documents(spark).schema)
     built, stored = ix.Index.build(hyphens, False), ix.Index.create(hyphens, path, False)
     for name in ("postings", "term_stats", "doc_stats", "corpus_stats"):
         assert rows(getattr(built, name)) == rows(getattr(stored, name).select(*getattr(built, name).columns))
-    engine = SearchEngine.create(Corpus.from_directory(spark, str(folder)), path)
+    engine = Finder.create(Corpus.from_directory(spark, str(folder)), path)
     plan = engine.index.term_postings("fox", False)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,fox)" in plan.split("PushedFilters")[1] and "positions" not in plan.split("ReadSchema")[1]
 
 
+def test_ranked_search_reads_no_whole_table(spark, folder, tmp_path_factory):
+    finder = Finder.create(Corpus.from_directory(spark, str(folder)), str(tmp_path_factory.mktemp("index") / "i"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = finder.search("test document", "bm25", 15)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = plan.split("FileScan")[1:]
+    assert len(scans) == 1 and "doc_stats" in scans[0] and "In(doc_id" in scans[0].split("PushedFilters")[1]
+    assert "SortMergeJoin" not in plan
+    ranked = finder.index.postings
+    from lexigrove.operators import ranking
+
+    plan = ranking.rank(["test"], ranked, finder.index.corpus_stats)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "EqualTo(term,test)" in plan and "positions" not in plan.split("ReadSchema")[1]
+
+
 def test_stream(spark, tmp_path):
     documents(spark).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema(documents(spark).schema).parquet(str(tmp_path / "in"))
@@ -124,6 +166,11 @@ def test_stream(spark, tmp_path):
     index = streamed_index(spark, str(tmp_path / "out"), stemmed=False)
     assert rows(index.term_stats) == [("bird", 1, 1), ("cat", 1, 3), ("dog", 3, 3)]
     assert index.corpus_stats.first()["n_docs"] == 4
+    whole = compact(spark, str(tmp_path / "out"), str(tmp_path / "whole"), stemmed=False)
+    for name in ("postings", "term_stats", "doc_stats", "corpus_stats"):
+        columns = getattr(whole, name).columns
+        assert rows(getattr(whole, name)) == rows(getattr(index, name).select(*columns))
+    assert Finder(whole).search("dog", "bm25", 2).count() == 2
 
 
 def test_stream_counts(spark, tmp_path):
