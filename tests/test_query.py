@@ -129,6 +129,7 @@ def test_rank_formulas(spark):
     posted, corpus = ix.postings(occ), ix.corpus_stats(stats)
     tfs = {i: {w: (t or "").split().count(w) for w in set((t or "").split())} for i, t in data}
     n, average = len(data), sum(sum(v.values()) for v in tfs.values()) / len(data)
+    weighed = ix.weighed(posted)
     for mode in ranking.MODES:
         terms = ["a", "b", "a", "zzz"]
         expected = {}
@@ -141,13 +142,13 @@ def test_rank_formulas(spark):
                     else:
                         s = math.log(1 + n / df) * (1 + math.log(v[term])) / math.sqrt(sum((1 + math.log(x)) ** 2 for x in v.values()))
                     expected[i] = expected.get(i, 0) + s
-        found = ranking.page(ranking.rank(terms, posted, stats, corpus, mode)).collect()
+        found = ranking.page(ranking.rank(terms, weighed, corpus, mode)).collect()
         assert {r["doc_id"]: r["score"] for r in found} == pytest.approx(expected, abs=1e-6)
         assert [r["doc_id"] for r in found] == [i for i, _ in sorted(expected.items(), key=lambda x: (-round(x[1], 6), 1 if x[0] == 3 else 0, x[0]))]
-    assert ranking.rank([], posted, stats, corpus).count() == 0
-    assert ranking.rank(["zzz"], posted, stats, corpus).count() == 0
+    assert ranking.rank([], weighed, corpus).count() == 0
+    assert ranking.rank(["zzz"], weighed, corpus).count() == 0
     with pytest.raises(ranking.UnknownTermError):
-        ranking.rank(["zzz"], posted, stats, corpus, "tfidf", strict=True)
+        ranking.rank(["zzz"], weighed, corpus, "tfidf", strict=True)
 
 
 def test_spelling(spark):
