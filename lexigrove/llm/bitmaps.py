@@ -62,14 +62,15 @@ def cardinality(container: bytes) -> int:
     return int((runs[:, 1] - runs[:, 0] + 1).sum())
 
 
-def contains(container: bytes, low: int) -> bool:
-    """Whether an id is in the container."""
+def among(container: bytes, low: np.ndarray) -> np.ndarray:
+    """Which of some ids of its block are in the container."""
     kind, data = container[:1], container[1:]
+    low = np.asarray(low, dtype=np.int64)
     if kind == _BITMAP:
-        return bool(data[low >> 3] >> (low & 7) & 1)
-    values = np.frombuffer(data, "<u2")
-    if kind == _ARRAY:
-        at = int(np.searchsorted(values, low))
-        return at < len(values) and int(values[at]) == low
-    at = int(np.searchsorted(values[0::2], low, side="right")) - 1
-    return at >= 0 and low <= int(values[1::2][at])
+        return (np.frombuffer(data, np.uint8)[low >> 3] >> (low & 7) & 1).astype(bool)
+    values = np.frombuffer(data, "<u2").astype(np.int64)
+    begins, ends = (values, values) if kind == _ARRAY else (values[0::2], values[1::2])
+    if not len(begins):
+        return np.zeros(len(low), bool)
+    at = np.searchsorted(begins, low, side="right") - 1
+    return (at >= 0) & (low <= ends[np.maximum(at, 0)])

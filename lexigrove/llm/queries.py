@@ -215,10 +215,11 @@ LLM_SQL = {
         FROM documents d LEFT JOIN (SELECT doc_id, sum("end" - "begin") AS n FROM stretches GROUP BY doc_id) s USING (doc_id)""",
     "p5_cleaned": _LINES
     + """, marked AS (
-            SELECT l.doc_id, l.line_no, e.line IS NOT NULL AS gone, string_split(d.body, chr(10))[l.line_no] AS raw
-            FROM lines l LEFT JOIN excessive e USING (site, line) JOIN docs d USING (doc_id, site))
-        SELECT DISTINCT j.doc_id, CASE WHEN j.site IS NULL OR j.body IS NULL THEN j.body ELSE coalesce(m.body, '') END AS body
-        FROM json_documents j LEFT JOIN (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone) AS body FROM marked GROUP BY doc_id) m USING (doc_id)""",
+            SELECT DISTINCT l.doc_id, l.site, d.body, l.line_no, e.line IS NOT NULL AS gone, string_split(d.body, chr(10))[l.line_no] AS raw
+            FROM lines l LEFT JOIN excessive e USING (site, line) JOIN docs d USING (doc_id, site)),
+        kept AS (SELECT doc_id, site, body, string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone) AS less FROM marked GROUP BY doc_id, site, body)
+        SELECT DISTINCT j.doc_id, j.site, CASE WHEN j.site IS NULL OR j.body IS NULL THEN j.body ELSE coalesce(k.less, '') END AS body
+        FROM json_documents j LEFT JOIN kept k USING (doc_id, site, body)""",
     "p3_found": _NEAR,
     "p5_found": _LINES + "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN excessive USING (site, line)",
     "p5_lines": _LINES + "SELECT site, line, n_docs FROM excessive",

@@ -22,8 +22,9 @@ def test_bitmaps(a, b, begin, length):
     both = bitmaps.union([x, y])
     assert set(bitmaps.decode(both).tolist()) == a | b and bitmaps.cardinality(both) == len(a | b)
     assert bitmaps.cardinality(x) == len(a)
-    for n in [*list(a)[:5], *list(b)[:5], 0, 65535, begin]:
-        assert bitmaps.contains(both, n) == (n in a | b)
+    asked = [*list(a)[:5], *list(b)[:5], 0, 65535, begin, begin + length]
+    for container, ids in ((both, a | b), (y, b), (x, a)):
+        assert bitmaps.among(container, np.array(asked)).tolist() == [n in ids for n in asked]
 
 
 def test_bitmaps_are_compressed():
@@ -71,7 +72,7 @@ def test_lines(spark):
     expected, bad = brute(data)
     assert rows(found.found()) == expected
     assert sorted(r[:2] for r in rows(found.by_site())) == sorted(bad)
-    bodies = dict(rows(found.cleaned()))
+    bodies = {i: body for i, _, body in rows(found.cleaned())}
     gone = set(expected)
     for i, _, body in data:
         if i is not None:
@@ -79,6 +80,22 @@ def test_lines(spark):
             assert bodies[i] == kept
 
 
+def test_bodies_with_one_id(spark):
+    data = [(n, "s", f"Same line\nown {n}") for n in range(1, 8)]
+    data += [(1, "z", "first line\nkept line"), (2, None, "Same line"), (3, "s", "other\nSame line"), (8, "s", None), (8, "s", None)]
+    cleaned = rows(repeated(spark, data).cleaned())
+    assert cleaned == sorted([(n, "s", f"own {n}") for n in range(1, 8)] + [(1, "z", "first line\nkept line"), (2, None, "Same line"), (3, "s", "other"), (8, "s", None)], key=repr)
+
+
+def test_lines_are_looked_up_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        data = [(n * 9000, "s", "Same line\nSAME  line\n" + ("twice" if n % 2 else "x" + str(n))) for n in range(30)]
+        assert rows(repeated(spark, data).found()) == brute(data)[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty(spark):
     found = repeated(spark, [])
     assert rows(found.found()) == [] and rows(found.by_site()) == [] and rows(found.cleaned()) == []
