@@ -2,7 +2,8 @@
 
 Canonical records are range-partitioned on their full key and the id, sorted
 externally within each partition, and scanned run by run with full keys
-compared.  A run cut by a partition's edge takes its representative from the
+compared.  Keys are written once before that, since the quantiles of the ranges are
+sampled in a pass of their own.  A run cut by a partition's edge takes its representative from the
 edges' table, which has one row per partition.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.llm.text import letters_and_digits
 from lexigrove.operators.ranges import changed, flat, range_sorted
-from lexigrove.session import stage
+from lexigrove.session import release, stage
 
 _RUNS = "id long, run_id long, part int, opening boolean, first_key string, last_key string, last_run long"
 _ROWS = 4096
@@ -72,8 +73,9 @@ def assign_representatives(df: DataFrame, id_col: str, key: Column) -> DataFrame
     table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")).where("id IS NOT NULL AND key IS NOT NULL")
-    hashed = rows.select(F.xxhash64("key").alias("h"), "key", "id")
+    hashed = stage(rows.select(F.xxhash64("key").alias("h"), "key", "id"), "keys")
     runs = stage(range_sorted(hashed, "h", "key", "id").select("key", "id").mapInArrow(_scan_runs, _RUNS), "runs")
+    release(hashed)
     # One row per partition: the window over all of them is as long as there are partitions.
     order = Window.orderBy("part")
     edges = runs.where("last_run IS NOT NULL").select(
@@ -108,9 +110,24 @@ def metadata_key(title: str, length: str) -> Column:
     return F.when((name != "") & F.col(length).isNotNull(), F.concat_ws("\n", name, F.col(length).cast("string")))
 
 
-def collapse(members: DataFrame) -> DataFrame:
-    """``(keep_id, n_copies)``: one record for each set of copies, itself counted."""
-    return members.groupBy("keep_id").agg(F.count("*").alias("n_copies"))
+def collapse(members: DataFrame, df: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """``(keep_id, n_copies)``: one record for each set of copies, itself counted.
+
+    With ``df`` its records without a key come too, each id for itself with one copy.
+    """
+    sets = members.groupBy("keep_id").agg(F.count("*").alias("n_copies"))
+    if df is None:
+        return sets
+    ids = df.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    alone = ids.join(members.select("id"), "id", "left_anti")
+    return sets.unionByName(alone.select(F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n_copies")))
+
+
+def records(collapsed: DataFrame, df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """``(keep_id, n_copies, *columns)``: the kept records themselves; of rows that repeat an id the least one."""
+    row = F.struct(*(F.col(c) for c in columns))
+    one = df.select(F.col(id_col).cast("long").alias("keep_id"), row.alias("row")).groupBy("keep_id").agg(F.min("row").alias("row"))
+    return collapsed.join(one, "keep_id").select("keep_id", "n_copies", "row.*")
 
 
 def copies(members: DataFrame) -> DataFrame:

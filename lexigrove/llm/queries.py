@@ -33,9 +33,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named({k: p1.copies(v) for k, v in _p1_sets(spark, sf_dir).items()}, "keep_id", "copy_id")
 
 
+def _collapsed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    sets = _p1_sets(spark, sf_dir)
+    return {name: p1.collapse(sets[name], table(spark, sf_dir, name), key) for name, key in (("json_files", "file_id"), ("document_metadata", "doc_id"))}
+
+
 def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record of each set of copies with the number of its copies."""
-    return _named({k: p1.collapse(v) for k, v in _p1_sets(spark, sf_dir).items()}, "keep_id", "n_copies")
+    """One record of each set of copies with the number of its copies; records without a key are kept one by one."""
+    return _named(_collapsed(spark, sf_dir), "keep_id", "n_copies")
+
+
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept records themselves, with the number of their copies."""
+    found = _collapsed(spark, sf_dir)
+    files = p1.records(found["json_files"], table(spark, sf_dir, "json_files"), "file_id", ["raw_json"])
+    metadata = p1.records(found["document_metadata"], table(spark, sf_dir, "document_metadata"), "doc_id", ["title", "doc_length"])
+    files = files.withColumns({"title": F.lit(None).cast("string"), "doc_length": F.lit(None).cast("long")})
+    return _named({"json_files": files, "document_metadata": metadata.withColumn("raw_json", F.lit(None).cast("string"))}, "keep_id", "n_copies", "raw_json", "title", "doc_length")
 
 
 def _near(spark: SparkSession, sf_dir: str) -> p3.NearDuplicates:
@@ -142,6 +156,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p1_records": p1_records,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
@@ -174,6 +189,11 @@ _SETS = r"""
     sets AS (SELECT table_name, id, min(id) OVER (PARTITION BY table_name, a, b) AS keep_id FROM keyed)
 """
 
+_COLLAPSED = """, ids AS (SELECT DISTINCT 'json_files' AS table_name, file_id AS id FROM json_files UNION ALL SELECT DISTINCT 'document_metadata', doc_id FROM document_metadata),
+    collapsed AS (SELECT table_name, keep_id, count(*) AS n_copies FROM sets GROUP BY table_name, keep_id
+        UNION ALL SELECT table_name, id, 1 FROM ids ANTI JOIN sets USING (table_name, id) WHERE id IS NOT NULL)
+"""
+
 _WHITE = r"[\t\n\x0B\f\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 _LINES = rf"""
@@ -224,5 +244,10 @@ LLM_SQL = {
     "p5_found": _LINES + "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN excessive USING (site, line)",
     "p5_lines": _LINES + "SELECT site, line, n_docs FROM excessive",
     "p1_found": _SETS + "SELECT table_name, keep_id, id AS copy_id FROM sets WHERE id <> keep_id",
-    "p1_collapsed": _SETS + "SELECT table_name, keep_id, count(*) AS n_copies FROM sets GROUP BY table_name, keep_id",
+    "p1_collapsed": _SETS + _COLLAPSED + "SELECT table_name, keep_id, n_copies FROM collapsed",
+    "p1_records": _SETS
+    + _COLLAPSED
+    + """, files_kept AS (SELECT file_id, min(raw_json) AS raw_json FROM json_files GROUP BY file_id), metadata_kept AS (SELECT doc_id, title, doc_length FROM document_metadata QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY title NULLS FIRST, doc_length NULLS FIRST) = 1)
+        SELECT table_name, keep_id, n_copies, raw_json, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BIGINT) AS doc_length FROM collapsed JOIN files_kept ON file_id = keep_id WHERE table_name = 'json_files'
+        UNION ALL SELECT table_name, keep_id, n_copies, CAST(NULL AS VARCHAR), title, doc_length FROM collapsed JOIN metadata_kept ON doc_id = keep_id WHERE table_name = 'document_metadata'""",
 }

@@ -77,3 +77,13 @@ def test_empty(spark):
     assert assign(spark, []).count() == 0
     df = spark.createDataFrame([], SCHEMA)
     assert copies.assign_representatives(df, "file_id", F.lit("k")).count() == 0
+
+
+def test_collapsed_and_kept_records(spark):
+    data = [(1, "A b", 3), (2, "a-B", 3), (3, "...", 3), (3, "...", 3), (4, None, 1), (5, "x", None), (None, "a b", 3), (2, "a-B", 3)]
+    df = spark.createDataFrame(data, "doc_id long, title string, doc_length long")
+    members = copies.assign_representatives(df, "doc_id", copies.metadata_key("title", "doc_length"))
+    found = copies.collapse(members, df, "doc_id")
+    assert rows(found) == [(1, 2), (3, 1), (4, 1), (5, 1)]
+    assert rows(copies.records(found, df, "doc_id", ["title", "doc_length"])) == [(1, 2, "A b", 3), (3, 1, "...", 3), (4, 1, None, 1), (5, 1, "x", None)]
+    assert rows(copies.collapse(members.limit(0), df.limit(0), "doc_id")) == []
