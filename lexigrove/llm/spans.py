@@ -8,7 +8,7 @@ second text, which hold the seeds within the longest gap only, give each seed it
 best predecessor under a linear gap cost.
 Chains are then aligned into passages with their exact and their whole extent.
 
-Equal texts are one text throughout (by hash and length); their documents come
+Equal texts are one text throughout (by 128 bits of hashes); their documents come
 back at the end.
 """
 
@@ -21,7 +21,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.operators.ranges import flat
@@ -29,7 +29,7 @@ from lexigrove.session import release, stage
 
 SPAN = 200
 KMER = 100
-#: Seeds in more texts than this are paired by the span-long windows around them.
+#: Seeds in more texts than this are paired by the span-long windows around them; results don't depend on it.
 HOT_TEXTS = 24
 #: Bytes up to which a table of text ids is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -38,6 +38,9 @@ MOST_GAP = 400
 _BLOCK = 1 << 18
 _SEEN = 1 << 20
 
+#: Bytes of a broadcast row of a text and of each of its seeds, at most.
+_TEXT_BYTES, _SEED_BYTES = 160, 48
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(_BLOCK * 2 - 1)
 
@@ -162,6 +165,10 @@ def _surroundings(reach: int, k: int):
     return run
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text, F.char_length(text))
+
+
 _MATCH = "a long, b long, pa int, pb int, l int, r int"
 
 
@@ -421,8 +428,17 @@ class SharedSpans:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, span: int = SPAN, k: int = KMER) -> None:
         self.span, self.k = span, k
         texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL").where(F.char_length("text") >= span)
-        self.texts = texts.withColumn("tid", F.xxhash64("text", F.char_length("text")))
-        self.members = stage(self.texts.select("doc_id", "tid", F.char_length("text").alias("n")).distinct(), "members")
+        tid, check = _text_hash(F.col("text")), F.xxhash64(F.lit(span), F.col("text"))
+        found = stage(texts.select("doc_id", tid.alias("tid"), check.alias("check"), F.char_length("text").alias("n")).distinct(), "members")
+        self._found = found
+        # Different texts with one 64-bit hash, of which even 10**10 texts have but a few, are told apart by the second.
+        clash = [r["tid"] for r in found.groupBy("tid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("tid").collect()]
+
+        def apart(tid: Column, check: Column) -> Column:
+            return F.when(tid.isin(clash), F.xxhash64(check, tid)).otherwise(tid) if clash else tid
+
+        self.texts = texts.withColumn("tid", apart(tid, check))
+        self.members = found.select("doc_id", apart(F.col("tid"), F.col("check")).alias("tid"), "n")
         seeds = stage(self.texts.select("tid", "text").mapInArrow(_seeds(span, k), "h long, tid long, pos int"), "seeds")
         shared = seeds.groupBy("h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("h")
         matched = stage(seeds.join(shared, "h").distinct(), "matched")
@@ -439,7 +455,7 @@ class SharedSpans:
         first = self.members.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
         at = matched.groupBy("tid").agg(F.collect_list(F.struct("h", "pos")).alias("at"))
         wanted = at.join(first, "tid")
-        size = matched.count() * 96  # a seed's bytes and, at most, those of its text's row
+        size = matched.count() * (_SEED_BYTES + _TEXT_BYTES)  # there are no more texts than seeds
         side = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
         rows = self.texts.join(side, ["tid", "doc_id"]).select("tid", "text", "at")
         cut = rows.mapInArrow(_surroundings(self.span - self.k, self.k), "tid long, h long, pos int, left string, seed string, right string")
@@ -456,8 +472,7 @@ class SharedSpans:
 
     def _of_pairs(self) -> DataFrame:
         """All matches of the pairs of texts that share a run of ``span``, whether a seed is hot or not."""
-        long = self.cold.where(F.col("l") + F.col("r") + self.k >= self.span)
-        pairs = stage(long.select("a", "b").unionByName(self._hot_pairs().select("a", "b")).distinct(), "pairs")
+        pairs = stage(self._long().select("a", "b").unionByName(self._hot_pairs().select("a", "b")).distinct(), "pairs")
         a, b = self._sides(self.hot)
         hot = pairs.join(a, "a").join(b, ["b", "h"]).drop("h").mapInArrow(_extend, _MATCH)
         return self.cold.join(pairs, ["a", "b"], "left_semi").unionByName(hot)
@@ -478,19 +493,32 @@ class SharedSpans:
     def _hot_pairs(self) -> DataFrame:
         """Pairs of the many texts of a seed that share one of the windows around it.
 
-        The windows that two texts share are neighbours; only the last and the
-        first of them make a row.
+        The windows that two texts share are neighbours; only the last and the first of
+        them make a row.  Where all texts that share a window share the next one too,
+        no pair's last window is here, and none's first where all share the one before:
+        such classes aren't joined, so a passage of many texts meets each pair about
+        twice, not once for each window.
         """
-        one = self._windows()
-        a, b = (one.select("h", "o", "win", F.col("tid").alias(s), F.col("pos").alias(f"p{s}"), F.col("after").alias(f"after_{s}"), F.col("before").alias(f"before_{s}")) for s in "ab")
+        key, one = ["h", "o", "win"], self._windows()
+
+        def ends(side: str) -> Column:
+            return (F.count(side) < F.count("*")) | (F.min(side) != F.max(side))
+
+        edges = one.groupBy(*key).agg((F.min("tid") != F.max("tid")).alias("several"), ends("after").alias("last"), ends("before").alias("begin"))
+        one = one.join(edges.where(F.col("several") & (F.col("last") | F.col("begin"))).select(*key), key)
+        a, b = (one.select(*key, F.col("tid").alias(s), F.col("pos").alias(f"p{s}"), F.col("after").alias(f"after_{s}"), F.col("before").alias(f"before_{s}")) for s in "ab")
         last = ~F.coalesce(F.col("after_a") == F.col("after_b"), F.lit(False))
         begin = ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
-        pairs = a.join(b, ["h", "o", "win"]).where((F.col("a") < F.col("b")) & (last | begin))
+        pairs = a.join(b, key).where((F.col("a") < F.col("b")) & (last | begin))
         return pairs.groupBy("a", "b", "pa", "pb").agg(F.max("o").cast("int").alias("l"), (F.lit(self.span - self.k) - F.min("o")).cast("int").alias("r"))
 
+    def _long(self) -> DataFrame:
+        """Matches of the seeds in few texts that lie within an exact run of ``span``: what the windows show of the others."""
+        return self.cold.where(F.col("l") + F.col("r") + self.k >= self.span)
+
     def _extents(self) -> DataFrame:
         """``(tid, pos, l, r)``: how far to either side of a seed a text is shared with any other."""
-        long = self.cold.where(F.col("l") + F.col("r") + self.k >= self.span)
+        long = self._long()
         sides = [long.select(F.col(t).alias("tid"), F.col(p).alias("pos"), "l", "r") for t, p in (("a", "pa"), ("b", "pb"))]
         one = self._windows().select("h", "o", "win", "tid", "pos")
         several = one.groupBy("h", "o", "win").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("h", "o", "win")
@@ -505,11 +533,11 @@ class SharedSpans:
     def passages(self) -> DataFrame:
         """One row for each chain of a pair of texts: its extent in both, its exact characters and longest exact run.
 
-        Of seeds with the same surroundings in one text only the first is taken, and hot
-        seeds match by whole windows only: enough to tell which texts share a run of
-        ``span``, but the extents are those of :meth:`text_pairs`.
+        Chained are the seeds within exact runs of ``span``, of those with the same
+        surroundings in one text only the first: enough to tell which texts share such a
+        run.  The extents across small changes are those of :meth:`text_pairs`.
         """
-        return self._chained(self.cold.unionByName(self._hot_pairs()))
+        return self._chained(self._long().unionByName(self._hot_pairs()))
 
     def _everywhere(self, matches: DataFrame) -> DataFrame:
         """Matches at all places of their seeds."""
@@ -557,8 +585,8 @@ class SharedSpans:
         spans = spans.select("tid", (F.col("p") - F.col("l")).alias("lo"), (F.col("p") + self.k + F.col("r")).alias("hi")).distinct()
         by_text = Window.partitionBy("tid").orderBy("lo", "hi")
         reached = F.max("hi").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
-        apart = spans.withColumn("fresh", F.coalesce((F.col("lo") > reached).cast("int"), F.lit(1)))
-        placed = apart.withColumn("stretch", F.sum("fresh").over(by_text))
+        parted = spans.withColumn("fresh", F.coalesce((F.col("lo") > reached).cast("int"), F.lit(1)))
+        placed = parted.withColumn("stretch", F.sum("fresh").over(by_text))
         merged = placed.groupBy("tid", "stretch").agg(F.min("lo").alias("begin"), F.max("hi").alias("end")).drop("stretch")
         copied = self.members.groupBy("tid").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
         whole = copied.where("copies > 1").select("tid", F.lit(0).alias("begin"), F.col("n").alias("end"))
@@ -569,3 +597,7 @@ class SharedSpans:
         """``(doc_id, n_chars, n_shared)`` of each member: how many of its characters stand in shared runs."""
         sums = self.shared_stretches().groupBy("doc_id").agg(F.sum(F.col("end") - F.col("begin")).alias("n_shared"))
         return self.members.join(sums, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_chars"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+
+    def close(self) -> None:
+        """Delete the staged tables, once the results are written or collected."""
+        release(self._found, self.around, self.cold)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexigrove.llm import spans
 from lexigrove.llm.queries import LLM_QUERIES
@@ -73,6 +74,35 @@ def test_hot_seeds_by_windows(spark, monkeypatch):
     check(spark, built(), monkeypatch, 3)
 
 
+def test_results_do_not_depend_on_hot_seeds(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in built()], SCHEMA).repartition(4)
+    found = []
+    for hot in (1, 10_000):
+        monkeypatch.setattr(spans, "HOT_TEXTS", hot)
+        one = spans.SharedSpans(df, "doc_id", "text")
+        passages = rows(one.passages().where("longest >= 200"), "a", "b", "a_start", "a_end", "b_start", "b_end", "n_seeds", "exact_chars", "longest")
+        found.append((passages, rows(one.document_pairs()), rows(one.text_pairs().select(*sorted(one.text_pairs().columns))), rows(one.shared_stretches())))
+        one.close()
+    assert found[0] == found[1] and found[0][0] and found[0][2]
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(spans, "_text_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    check(spark, built())
+
+
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in built()], SCHEMA)
+        found = spans.SharedSpans(df, "doc_id", "text").document_pairs()
+        assert rows(found) == brute(built(), 200)[0]
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_aligned_passages_and_their_texts(spark):
     random.seed(12)
     first, second, twice = noise(300), noise(320), noise(400)
