@@ -206,11 +206,11 @@ _LINES = rf"""
 """
 
 _NEAR = r"""
-    WITH docs AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[\p{L}\p{N}]+') AS w FROM json_documents),
+    WITH RECURSIVE docs AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[\p{L}\p{N}]+') AS w FROM json_documents),
     grams AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM docs),
     sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL)
-    SELECT x AS doc_id_a, y AS doc_id_b FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE c * 5 >= (s.n + t.n - c) * 3
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    near AS (SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE c * 5 >= (s.n + t.n - c) * 3)
 """
 
 _SPANS = """
@@ -240,7 +240,12 @@ LLM_SQL = {
         kept AS (SELECT doc_id, site, body, string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone) AS less FROM marked GROUP BY doc_id, site, body)
         SELECT DISTINCT j.doc_id, j.site, CASE WHEN j.site IS NULL OR j.body IS NULL THEN j.body ELSE coalesce(k.less, '') END AS body
         FROM json_documents j LEFT JOIN kept k USING (doc_id, site, body)""",
-    "p3_found": _NEAR,
+    "p3_found": _NEAR + "SELECT x AS doc_id_a, y AS doc_id_b FROM near",
+    "p3_groups": _NEAR
+    + """, links AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+        reached AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),
+        counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+        SELECT r.x AS doc_id, min(r.y) AS group_id, coalesce(max(n), 0) AS n_links FROM reached r LEFT JOIN counted c ON c.x = r.x GROUP BY r.x""",
     "p5_found": _LINES + "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN excessive USING (site, line)",
     "p5_lines": _LINES + "SELECT site, line, n_docs FROM excessive",
     "p1_found": _SETS + "SELECT table_name, keep_id, id AS copy_id FROM sets WHERE id <> keep_id",

@@ -6,6 +6,7 @@ import re
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from lexigrove.llm import near as near_module
 from lexigrove.llm.near import NearDuplicates, connected
 from tests.conftest import rows
 
@@ -56,6 +57,34 @@ def test_edits_copies_and_edges(spark):
         assert links[a][0] == links[b][0]
 
 
+def test_versions_are_classes_not_pairs(spark):
+    random.seed(3)
+    base = [f"w{random.randrange(5000)}" for _ in range(300)]
+    data = [(n, None, edited(base, random.choice([1, 2, 6, 14]))) for n in range(120)]
+    other = base[:150] + [f"v{random.randrange(5000)}" for _ in range(60)]
+    data += [(500 + n, None, edited(other, random.choice([1, 3, 9]))) for n in range(40)]
+    data += [(900 + n, None, edited(base, 1)) for n in range(3)] * 2
+    found = near(spark, data)
+    pairs = brute(data)
+    assert rows(found.document_pairs()) == pairs
+    links = {r["doc_id"]: (r["group_id"], r["n_links"]) for r in found.groups().collect()}
+    counts = {}
+    for a, b in pairs:
+        for x in (a, b):
+            counts[x] = counts.get(x, 0) + 1
+        assert links[a][0] == links[b][0]
+    assert {i: n for i, (_, n) in links.items() if n} == counts
+    assert found.classes.count() > 80 and found.cross.count() < len(pairs) / 2
+
+
+def test_by_shuffle(spark, monkeypatch):
+    random.seed(5)
+    monkeypatch.setattr(near_module, "BROADCAST_BYTES", 0)
+    data = [(n, "t", edited([f"w{n % 7 * 50 + k}" for k in range(40)], n % 4)) for n in range(60)]
+    data += [(100 + n, "t", data[3][2]) for n in range(5)]
+    assert rows(near(spark, data).document_pairs()) == brute(data)
+
+
 def test_empty(spark):
     found = near(spark, [])
     assert rows(found.document_pairs()) == [] and rows(found.groups()) == []
