@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.operators.ranges import flat
@@ -30,12 +30,14 @@ MIN_WORDS = 8
 #: Nats that a change of language costs at the end of a sentence or line, and within one.
 SWITCH = 8.0
 SWITCH_WITHIN = 14.0
-#: Labelled samples used, at most (the smallest ids).
-MOST_SAMPLES = 12000
+#: Labelled samples used of each language, at most (the least hashes of their ids).
+MOST_SAMPLES = 2000
 #: Labelled documents added to the training text, at most (the least hashes of their ids).
 MOST_DOCUMENTS = 3000
 #: One sample of so many is held out for the rejection bound and the confidence.
 HELD_OUT = 5
+#: Words of the held-out pieces that the confidence is fitted on.
+PIECES = (1, 2, 4, MIN_WORDS)
 _BREAK = re.compile(r"[.!?\n\r]")
 _WORD = re.compile(r"[^\W_]+")
 _MARK = "\x02"
@@ -190,13 +192,21 @@ class Models:
         return np.add.reduceat(out, ends - lengths - marks * np.arange(1, len(words) + 1), axis=0) if len(words) else np.zeros((0, len(self.langs)))
 
 
+def _pieces(rows: np.ndarray, length: int) -> np.ndarray:
+    """Sums over each ``length`` rows; what is left at the end is dropped."""
+    n = len(rows) // length
+    return rows[: n * length].reshape(n, length, *rows.shape[1:]).sum(axis=1)
+
+
 class Identifier:
     """Models with their bounds for rejection, fitted on held-out samples.
 
-    The bound of a language is the greatest cross-entropy per character of its
-    held-out samples, widened by half; the confidence of a segment is the share
-    of its language when each language's likelihood is tempered so that held-out
-    segments of ``MIN_WORDS`` words have their mean accuracy.
+    The bound of a language lies six standard deviations above the mean
+    cross-entropy per character of its held-out pieces of ``MIN_WORDS`` words, and a
+    quarter above the greatest at least.  The confidence of a segment is the share of
+    its language by the likelihoods of its words, tempered so that held-out pieces
+    of one word to ``MIN_WORDS`` are as probable as can be: neighbouring words say
+    less together than each for itself.
     """
 
     def __init__(self, samples: list[tuple[str, str]]) -> None:
@@ -206,33 +216,46 @@ class Identifier:
         fit = [(lang, t) for lang, own in by_lang.items() for i, t in enumerate(own) if i % HELD_OUT or len(own) < HELD_OUT]
         held = [(lang, t) for lang, own in by_lang.items() for i, t in enumerate(own) if not i % HELD_OUT and len(own) >= HELD_OUT]
         trial = Models(fit)
-        worst: dict[str, float] = {}
-        margins, right = [], 0
+        entropies: dict[str, list[np.ndarray]] = defaultdict(list)
+        pieces: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for lang, text in held:
-            words = _WORD.findall(text.lower())
+            words, own = _WORD.findall(text.lower()), trial.langs.index(lang)
             scores, sizes = trial.score(words), np.array([len(w) + 1 for w in words])
-            for lo in range(0, len(words) - MIN_WORDS + 1, MIN_WORDS):
-                part, chars = scores[lo : lo + MIN_WORDS].sum(axis=0), sizes[lo : lo + MIN_WORDS].sum()
-                own = trial.langs.index(lang)
-                worst[lang] = max(worst.get(lang, 0.0), -part[own] / chars)
-                margins.append(part / chars)
-                right += int(part.argmax()) == own
+            for length in PIECES:
+                part = _pieces(scores, length)
+                pieces[length].append((own, part))
+                if length == MIN_WORDS:
+                    entropies[lang].append(-part[:, own] / _pieces(sizes, length))
+        seen = {lang: np.concatenate(own) for lang, own in entropies.items() if sum(map(len, own))}
         self.models = Models(samples)
         self.langs = self.models.langs
-        self.bounds = np.array([1.5 * worst.get(lang, 8.0) for lang in self.langs])
-        self.accuracy = right / len(margins) if margins else 1.0
-        self.temper = self._fit_temper(margins)
-
-    def _fit_temper(self, margins: list[np.ndarray]) -> float:
-        if not margins:
-            return 30.0
-        scores = np.array(margins)
-        scores -= scores.max(axis=1, keepdims=True)
-        target = min(self.accuracy, 0.999)
-        for temper in np.geomspace(0.5, 200, 60):
-            if (1 / np.exp(temper * scores).sum(axis=1)).mean() >= target:
-                return float(temper)
-        return 200.0
+        self.bounds = np.array([max(1.25 * x.max(), x.mean() + 6 * x.std()) if (x := seen.get(lang)) is not None else 12.0 for lang in self.langs])
+        self.temper = self._fit_temper(pieces)
+
+    @staticmethod
+    def _fit_temper(pieces: dict[int, list[tuple[int, np.ndarray]]]) -> float:
+        """The temper of least mean surprise, every length counting alike."""
+        by_length = []
+        for own in pieces.values():
+            scores = np.concatenate([part for _, part in own]) if own else np.zeros((0, 1))
+            if len(scores):
+                scores = scores - scores.max(axis=1, keepdims=True)
+                by_length.append((scores, scores[np.arange(len(scores)), np.repeat([i for i, _ in own], [len(part) for _, part in own])]))
+        if not by_length:
+            return 0.5
+        tempers = np.geomspace(0.02, 2, 50)
+        surprise = [sum((np.log(np.exp(t * scores).sum(axis=1)) - t * right).mean() for scores, right in by_length) for t in tempers]
+        return float(tempers[int(np.argmin(surprise))])
+
+    def confidences(self, lang: str, text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Confidence of each piece of so many words of a text, and whether its nearest language is the right one."""
+        part = _pieces(self.models.score(_WORD.findall(text.lower())), length)
+        return self.shares(part).max(axis=1), part.argmax(axis=1) == self.langs.index(lang)
+
+    def shares(self, scores: np.ndarray) -> np.ndarray:
+        """Each language's share by tempered scores."""
+        share = np.exp(self.temper * (scores - scores.max(axis=-1, keepdims=True)))
+        return share / share.sum(axis=-1, keepdims=True)
 
     def words(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
         """Word numbers of each text, the cost of a change before each, the distinct words' scores and lengths, and each word's place."""
@@ -317,8 +340,8 @@ class Identifier:
         """For each text its language, its confidence and its segments.
 
         The language is that of most words over all segments that aren't rejected,
-        the earliest of equals; the confidence is its share by the scores summed over
-        the whole text for each character.
+        the earliest of equals; the confidence is the expected share of the words
+        that are in it.
         """
         numbers, costs, scores, sizes, places = self.words(texts)
         out = []
@@ -333,13 +356,13 @@ class Identifier:
                     parts[-1][2:] = [end, parts[-1][3] + part, parts[-1][4] + chars]
                 else:
                     parts.append([own, begin, end, part, chars])
-            found = []
+            found, shares = [], []
             for i, (own, begin, end, part, chars) in enumerate(parts):
                 entropy = -part / chars
-                share = np.exp(self.temper * (entropy[own] - entropy))
+                shares.append(self.shares(part))
                 sure = entropy[own] <= self.bounds[own]
                 from_, to = place[begin][0] if i else 0, len(text) if i + 1 == len(parts) else place[end - 1][1]
-                found.append((self.langs[own] if sure else None, self.langs[own], from_, to, end - begin, float(1 / share.sum()), float(entropy[own])))
+                found.append((self.langs[own] if sure else None, self.langs[own], from_, to, end - begin, float(shares[-1][own]), float(entropy[own])))
             counts: Counter = Counter()
             for lang, *_, n_words, _, _ in found:
                 if lang is not None:
@@ -348,9 +371,9 @@ class Identifier:
                 out.append((None, None, found))
                 continue
             main = max(counts, key=counts.__getitem__)
-            entropy = -sum(p[3] for p in parts) / sum(p[4] for p in parts)
-            share = np.exp(self.temper * (entropy[self.langs.index(main)] - entropy))
-            out.append((main, float(1 / share.sum()), found))
+            sizes_of = np.array([f[4] for f in found])
+            certain = np.array([share[self.langs.index(main)] for share in shares])
+            out.append((main, float((sizes_of * certain).sum() / sizes_of.sum()), found))
         return out
 
 
@@ -362,8 +385,11 @@ def train(samples: DataFrame, documents: DataFrame | None = None) -> bytes:
     names: so their sites' own phrases are known too.  Both tables are read up to
     their documented bounds; nulls are left out.
     """
-    rows = samples.where("lang IS NOT NULL AND sample_text IS NOT NULL").select("sample_id", "lang", "sample_text").orderBy("sample_id", "lang", "sample_text").limit(MOST_SAMPLES).collect()
-    labelled = [(r["lang"].strip().lower()[:2], r["sample_text"]) for r in rows]
+    named = F.coalesce(label_language(F.col("lang")), F.lower(F.trim("lang")))
+    chosen = samples.where("lang IS NOT NULL AND sample_text IS NOT NULL").select(named.alias("lang"), "sample_text", "sample_id")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("sample_id"), "sample_id", "sample_text"))
+    rows = chosen.withColumn("nth", nth).where(F.col("nth") <= MOST_SAMPLES).orderBy("lang", "nth").collect()
+    labelled = [(r["lang"], r["sample_text"]) for r in rows]
     first = Identifier(labelled)
     if documents is None or not first.langs:
         return pickle.dumps(first)
@@ -415,13 +441,20 @@ def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, samples:
     return df.select(F.col(id_col), F.col(label_col).alias("label"), F.col(text_col).alias("text")).mapInArrow(run, schema).distinct()
 
 
+#: Language of a rejected segment, by the standard's code for what can't be determined.
+REJECTED = "und"
+
+
 def wrong_labels(found: DataFrame, id_col: str) -> DataFrame:
-    """``(id_col, seg_no, lang)`` of documents whose label names no language or another one, or that have several segments."""
+    """``(id_col, seg_no, lang)`` of documents whose label names no language or another one, or that have several segments.
+
+    A segment that no language accepts has the language ``und``, which no label names.
+    """
     named = label_language(F.col("label"))
-    first = F.element_at("segments", 1)["nearest"]
+    first = F.coalesce(F.element_at("segments", 1)["lang"], F.lit(REJECTED))
     case = (F.size("segments") > 1) | named.isNull() | (named != first)
     rows = found.where((F.col("n_words") >= MIN_WORDS) & (F.size("segments") > 0)).where(case)
-    return rows.select(id_col, F.explode("segments").alias("s")).select(id_col, F.col("s.seg_no").alias("seg_no"), F.col("s.nearest").alias("lang")).distinct()
+    return rows.select(id_col, F.explode("segments").alias("s")).select(id_col, F.col("s.seg_no").alias("seg_no"), F.coalesce("s.lang", F.lit(REJECTED)).alias("lang")).distinct()
 
 
 def document_languages(found: DataFrame, id_col: str) -> DataFrame:

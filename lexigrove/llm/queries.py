@@ -126,6 +126,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report()
 
 
+def _mixture_of_characters(spark: SparkSession, sf_dir: str) -> p7.Mixture:
+    return p7.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"), size=F.char_length("text"))
+
+
+def p7_mixture_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture when sizes are in characters, which SQL can count."""
+    return _mixture_of_characters(spark, sf_dir).rows()
+
+
+def p7_shares_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source when sizes are in characters."""
+    return _mixture_of_characters(spark, sf_dir).report()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a run of at least 200 characters in common."""
     return p8.SharedSpans(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").document_pairs()
@@ -168,6 +182,8 @@ LLM_QUERIES = {
     "p6_round_trip": p6_round_trip,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_mixture_chars": p7_mixture_chars,
+    "p7_shares_chars": p7_shares_chars,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_aligned": p8_aligned,
@@ -228,7 +244,24 @@ _STRETCHES = """
     stretches AS (SELECT doc_id, CAST(min(i) - 1 AS INTEGER) AS "begin", CAST(max(i) + 199 AS INTEGER) AS "end" FROM numbered GROUP BY doc_id, no)
 """
 
+_MIXTURE = rf"""
+    WITH docs AS (SELECT doc_id, nullif(lower(regexp_replace(source, '^{_WHITE}+|{_WHITE}+$', '', 'g')), '') AS source, coalesce(length(text), 0) AS n_tokens FROM documents),
+    wanted AS (SELECT nullif(lower(regexp_replace(source, '^{_WHITE}+|{_WHITE}+$', '', 'g')), '') AS source, target_share, max_repeats FROM mixture_targets),
+    there AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS n_docs FROM docs GROUP BY source),
+    plan AS (SELECT w.source, target_share, max_repeats, coalesce(tokens, 0) AS tokens, coalesce(n_docs, 0) AS n_docs FROM wanted w LEFT JOIN there t ON t.source = w.source WHERE w.source IS NOT NULL),
+    total AS (SELECT CAST(sum(tokens) AS DOUBLE) AS t FROM plan WHERE target_share > 0),
+    rates AS (SELECT plan.*, CASE WHEN tokens > 0 THEN least(CAST(max_repeats AS DOUBLE), target_share * t / tokens) ELSE 0.0 END AS rate FROM plan, total),
+    drawn AS (SELECT doc_id, d.source, n_tokens, rate, CAST('0x' || substr(md5('20240:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM docs d JOIN rates r ON r.source = d.source WHERE n_tokens > 0 AND rate > 0),
+    used AS (SELECT doc_id, source, n_tokens, CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM drawn)
+"""
+
 LLM_SQL = {
+    "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
+    "p7_mixture_chars": _MIXTURE + "SELECT doc_id, source, n_tokens, unnest(range(1, copies + 1))::INTEGER AS copy_no FROM used WHERE copies > 0",
+    "p7_shares_chars": _MIXTURE
+    + """, reached AS (SELECT source, CAST(sum(n_tokens * copies) AS BIGINT) AS mixed_tokens, max(copies) AS most_copies FROM used WHERE copies > 0 GROUP BY source)
+        SELECT r.source, target_share, max_repeats, n_docs, tokens, round(rate, 9) AS rate, coalesce(mixed_tokens, 0) AS mixed_tokens, coalesce(most_copies, 0) AS most_copies,
+               round(coalesce(mixed_tokens, 0) / (SELECT sum(mixed_tokens) FROM reached)::DOUBLE, 9) AS share FROM rates r LEFT JOIN reached USING (source)""",
     "p8_found": _SPANS,
     "p8_passages": _STRETCHES + 'SELECT doc_id, "begin", "end" FROM stretches',
     "p8_shared": _STRETCHES + """SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shared

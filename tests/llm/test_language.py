@@ -82,6 +82,43 @@ def test_rejection(samples):
     assert len(found) == 1 and found[0][0] is None and found[0][1] is not None
 
 
+def test_confidence_is_calibrated(samples):
+    identifier = lg.Identifier(samples[::2])
+    for length in (1, 2, 4, 8):
+        found = [identifier.confidences(lang, text, length) for lang, text in samples[1::2]]
+        confidence, right = (np.concatenate(x) for x in zip(*found))
+        bins = np.minimum((confidence * 10).astype(int), 9)
+        error = sum(abs(confidence[bins == i].mean() - right[bins == i].mean()) * (bins == i).sum() for i in set(bins)) / len(bins)
+        print(length, len(bins), "accuracy", right.mean().round(4), "confidence", confidence.mean().round(4), "error", error.round(4), [(i, int((bins == i).sum()), confidence[bins == i].mean().round(2), right[bins == i].mean().round(2)) for i in sorted(set(bins))])
+        assert error < 0.06
+
+
+def test_foreign_text_is_rejected(samples):
+    identifier = lg.Identifier(samples)
+    held = lg.Identifier(samples[::2])
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van az emberek ésszel",
+        "Все люди рождаются свободными и равными в своём достоинстве и правах они наделены разумом",
+    ]
+    assert [s[0] for f in identifier.segments(foreign) for s in f].count(None) >= 3
+    assert all(s[0] is not None for f in held.segments([t for _, t in samples[1::2]]) for s in f)
+
+
+def test_labels_of_samples(spark, samples):
+    names = {"en": "English", "de": "ger", "es": "es-MX"}
+    data = [(i, names.get(lang, lang), t, 1) for i, (lang, t) in enumerate(samples)]
+    model = lg.train(spark.createDataFrame(data, "sample_id long, lang string, sample_text string, extra int"))
+    assert lg.pickle.loads(model).langs == sorted({lang for lang, _ in samples})
+
+
+def test_rejected_segments_are_cases(spark, samples):
+    table = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(samples)], "sample_id long, lang string, sample_text string")
+    df = spark.createDataFrame([(3, "zxqj wvkq jjxz qqzx kkwv zzxq jxkw vvqz qzkx wwjx", "en")], "doc_id long, body string, lang_label string")
+    assert rows(lg.wrong_labels(lg.identify(df, "doc_id", "body", "lang_label", table), "doc_id")) == [(3, 1, "und")]
+
+
 def test_tables(spark, samples):
     table = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(samples)], "sample_id long, lang string, sample_text string")
     english, spanish = ([t for x, t in samples if x == lang] for lang in ("en", "es"))
