@@ -3,7 +3,7 @@
 Searches read a written index, which the first of them builds for each table and
 kind of terms; ``index_create`` always builds one.
 
-Terms aren't stemmed where SQL checks the result, as SQL has no stemmer.
+Terms aren't stemmed in most of them; ``stem_terms`` and ``search_stemmed`` are checked by the stemmer's steps in SQL.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from lexigrove.finder import PAGE, Finder
 from lexigrove.operators import ranking, spelling
 from lexigrove.plans.compiler import Compiler
 from lexigrove.plans.parser import English, Spanish, parse, ranked_terms
+from lexigrove.queries import stems
 from lexigrove.session import keep_until_exit, shared_dir, table, version
 from lexigrove.sources.files import Corpus, json_files, merged_lines, merged_postings, tei_text, write_files, xml_files
 
@@ -473,6 +474,8 @@ _STATS = (
     dfs AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tfs WHERE term <> '' GROUP BY term)
 """
 )
+# As _STATS, with stems for terms.
+_STEMMED = _STATS.replace("occ AS (", "whole AS (").replace(",\n    tfs AS", ",\n    raw AS (SELECT DISTINCT term FROM whole),\n" + stems.TABLES + ",\n    occ AS (SELECT doc_id, position, stem AS term FROM whole JOIN stems USING (term)),\n    tfs AS")
 _POST = _TOK + ", post AS (SELECT term, doc_id, count(*) AS tf, list(position ORDER BY position) AS positions FROM occ WHERE term <> '' GROUP BY term, doc_id)"
 
 
@@ -485,13 +488,13 @@ def _phrase(*terms: str) -> str:
     return f"SELECT DISTINCT o0.doc_id FROM occ o0{joins} WHERE o0.term = '{terms[0]}'"
 
 
-def _rank_sql(terms: list[str], mode: str, tail: str) -> str:
+def _rank_sql(terms: list[str], mode: str, tail: str, stats: str = _STATS) -> str:
     asked = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
     if mode == "bm25":
         weight = "greatest(0.1, ln((n_docs - df + 0.5) / (df + 0.5))) * (2.2 * tf / (1.2 * (0.25 + 0.75 * doc_length / avg_doc_length) + tf))"
     else:
         weight = "ln(1 + n_docs / df) * (1 + ln(tf)) / l_d"
-    return f"""WITH {_STATS}, asked(i, term) AS (VALUES {asked}),
+    return f"""WITH {stats}, asked(i, term) AS (VALUES {asked}),
     scored AS (
         SELECT t.doc_id, round(sum({weight}), 6) AS score, CAST(min(a.i) AS INTEGER) AS first_term
         FROM asked a JOIN tfs t ON t.term = a.term JOIN dfs d ON d.term = a.term JOIN stats s ON s.doc_id = t.doc_id CROSS JOIN corpus GROUP BY t.doc_id)
@@ -602,5 +605,7 @@ SQL: dict[str, str] = {
         CASE WHEN raw_json IS NOT NULL AND NOT json_valid(raw_json) THEN 'json: not one whole object' END AS problem FROM json_files""",
     "detect_language": f"SELECT doc_id, CASE WHEN {_hits('spanish')} > {_hits('english')} THEN 'spanish' ELSE 'english' END AS language FROM documents",
     "xml_source": f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_TEI_TITLE} END AS title, CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_TEI_CONTENT} END AS content, doc_id % 7 = 0 AS bad FROM documents",
+    "stem_terms": f"WITH {_STEMMED} SELECT term, df, cf FROM dfs",
+    "search_stemmed": _rank_sql(["quiet", "walk", "harbor"], "bm25", "LIMIT 10", _STEMMED),
     "spanish_terms": r"SELECT term, count(*) AS cf FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w))) AS term FROM documents WHERE lang = 'es') WHERE regexp_full_match(term, '\p{L}+') GROUP BY term",
 }

@@ -1,10 +1,13 @@
 """Tokens, types and stems."""
 
+import random
+
 import pytest
 
-from lexigrove.functions import analysis
+from lexigrove.functions import analysis, stemmer
 from lexigrove.functions.stemmer import stem, stem_terms
 from lexigrove.plans.parser import English
+from lexigrove.queries import stems
 from tests.conftest import rows
 
 
@@ -102,3 +105,15 @@ def test_spanish_and_language(spark):
     assert ("comer",) in rows(analysis.lemmatize(found, lemmas), "term")
     named = docs(spark, "el perro de la casa", "the dog of the house", None).select(analysis.language_name(analysis.F.col("content")).alias("l"))
     assert [r[0] for r in named.collect()] == ["spanish", "english", "english"]
+
+
+def test_stems_equal_the_steps_in_sql():
+    duckdb = pytest.importorskip("duckdb")
+    random.seed(7)
+    letters = ["b", "c", "d", "e", "g", "i", "k", "l", "ll", "m", "n", "o", "r", "s", "ss", "t", "tt", "u", "w", "x", "y", "a", "gener", "commun", "yy", "1"]
+    endings = ["", *stemmer._STEP_2, *stemmer._STEP_3, *stemmer._STEP_4, "ative", "ogi", "logi", "li", "ion", "sion", "tion", "ed", "edly", "ing", "ingly", "eed", "eedly", "s", "es", "ies", "ied", "sses", "us", "y", "e", "le", "ll", "ating", "bled", "izing"]
+    words = {"".join(random.choices(letters, k=random.randrange(6))) + random.choice(endings) + random.choice(["", "", "s", "ly", "ed", "e"]) for _ in range(40000)}
+    words |= set(stemmer._IRREGULAR) | stemmer._KEPT_AFTER_1A | {"", "y", "outings", "innings", "proceeds", "skying", "generations", "arsenals"}
+    known = duckdb.sql(f"WITH raw AS (SELECT unnest($words) AS term), {stems.TABLES} SELECT term, stem FROM stems", params={"words": sorted(words)}).fetchall()
+    assert len(known) == len(words)
+    assert [(w, s, stemmer.stem(w)) for w, s in known if stemmer.stem(w) != s] == []
