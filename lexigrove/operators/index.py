@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import types
 from lexigrove.functions.stemmer import stem_terms
+from lexigrove.session import release, stage
 
 _DECODED = 1 << 16
 
@@ -81,7 +82,10 @@ def weighed(posted: DataFrame) -> DataFrame:
 
 def table_postings(documents: DataFrame, stemmed: bool) -> DataFrame:
     """Weighed postings of all terms: texts are shuffled once by document, not their many occurrences."""
-    rows = occurrences(documents.repartition("doc_id"), stemmed)
+    spark = documents.sparkSession
+    # A number of partitions of its own, as small shuffled texts would be put together, and they are heavy once exploded.
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = occurrences(documents.repartition(n, "doc_id"), stemmed)
     full = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     return weighed(full.select("term", "doc_id", "tf", "positions"))
 
@@ -201,7 +205,9 @@ class Index:
     def write(full: DataFrame, documents: DataFrame, path: str, stemmed: bool) -> Index:
         """Write weighed postings of all terms, and the tables that follow from them and ``documents(doc_id, title)``."""
         spark = documents.sparkSession
-        full.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        once = stage(full, "postings")  # the ranges' quantiles are sampled in a pass of their own
+        once.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        release(once)
         written = spark.read.parquet(f"{path}/postings").select("term", "doc_id", "tf")
         terms = term_stats(written.where("term <> ''"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")

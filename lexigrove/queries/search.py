@@ -44,19 +44,25 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple, str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
-    """The written index of a table, built when it is first asked for and again when the table has changed."""
+def _key(spark: SparkSession, sf_dir: str, stemmed: bool) -> tuple:
     source = f"{sf_dir}/documents.parquet"
-    key = (spark.sparkContext.applicationId, source, version(spark, source), stemmed)
+    return spark.sparkContext.applicationId, source, version(spark, source), stemmed
+
+
+def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
+    """The last index written of a table; built when there is none yet or the table has changed."""
+    key = _key(spark, sf_dir, stemmed)
     if key not in _BUILT or not ix.Index.exists(spark, _BUILT[key]):
-        _BUILT[key] = str(_created(spark, sf_dir, stemmed).path)
+        return _created(spark, sf_dir, stemmed)
     return ix.Index.load(spark, _BUILT[key])
 
 
 def _created(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
     path = f"{shared_dir(spark)}/lexigrove-{uuid.uuid4().hex}/index"
     keep_until_exit(spark, path)
-    return ix.Index.create(ix.documents_view(table(spark, sf_dir, "documents")), path, stemmed)
+    made = ix.Index.create(ix.documents_view(table(spark, sf_dir, "documents")), path, stemmed)
+    _BUILT[_key(spark, sf_dir, stemmed)] = path
+    return made
 
 
 def index_create(spark: SparkSession, sf_dir: str) -> DataFrame:

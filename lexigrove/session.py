@@ -99,7 +99,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False, by:
         return df
     cores, size = spark.sparkContext.defaultParallelism, _folder(spark, path).getLength()
     if df.rdd.getNumPartitions() >= cores:
-        return df.repartition(by) if by else df
+        return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), by) if by else df
     n = max(1, min(cores, -(-size // _TASK_BYTES)))
     return df.repartition(n, by) if by else df.repartition(n)
 
